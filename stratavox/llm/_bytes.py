@@ -86,8 +86,8 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block.spans(_TOKEN[block.buf])
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each non-empty span; the spans are disjoint and in order."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each non-empty run of 64-bit values; the runs are disjoint and in order."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
@@ -99,7 +99,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     shift = np.cumsum(size) - size
     rank = np.arange(int(size.sum())) - np.repeat(shift, size)
     at = np.repeat(starts, size) + rank
-    return mix(np.add.reduceat(_BYTE[buf[at]] * power[rank], shift) + size.astype(np.uint64))
+    return mix(np.add.reduceat(values[at] * power[rank], shift) + size.astype(np.uint64))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """run_hashes() of bytes."""
+    return run_hashes(_BYTE[buf], starts, ends)
 
 
 def windows(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

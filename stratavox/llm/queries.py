@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, quality, simhash
+from . import chat, decontaminate, langid, lmscore, pieces, pii, quality, simhash, toxicity, warc
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_log_score", F.round("mean_log_score", 4))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -33,19 +38,47 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), F.col("text"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found.alias("p"))
+    return scored.select("doc_id", "held_out", "p.score", (F.col("p.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("p.evidence.doc_id").alias("evidence"))
+
+
+def op8_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = docs.select("doc_id", pieces.sample(F.col("text"), F.col("doc_id")).alias("s"))
+    of = lambda name, f: F.transform("s", f).alias(name)
+    return drawn.select("doc_id", F.size("s").cast("bigint").alias("n_samples"), of("n_pieces", lambda x: F.size(x["ids"])), of("digest", lambda x: F.xxhash64(x["ids"])), of("log_prob", lambda x: x["log_prob"]), of("inclusion", lambda x: x["inclusion"]))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", quality.assess(F.col("text")).alias("q")).select("doc_id", "q.*")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_langid": op4_langid,
     "op5_simhash": op5_simhash,
+    "op6_warc_audit": op6_warc_audit,
+    "op7_toxicity": op7_toxicity,
+    "op8_sample_pieces": op8_sample_pieces,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {
+    "op1_lm_score": lmscore.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_chat_format": chat.ORACLE,
 }
