@@ -1 +1 @@
-
+"""Column functions: integer kernels, text and protocol scalars, digests."""

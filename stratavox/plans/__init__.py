@@ -1 +1 @@
-
+"""The registered queries, family by family, each with its SQL."""

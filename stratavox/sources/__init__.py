@@ -1 +1 @@
-
+"""Readers and writers of array, imaging and archive files."""
