@@ -51,7 +51,7 @@ def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation as array<struct<role,text>>; null if it isn't in the grammar."""
     pieces = F.split(formatted, r"<\|im_start\|>", -1)
     body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    good = (F.element_at(pieces, 1) == "") & F.forall(body, lambda p: p.contains("\n") & (F.length(p) - F.length(F.substring_index(p, END, 1)) == len(END) + 1) & p.endswith(f"{END}\n"))
+    good = (F.element_at(pieces, 1) == "") & F.forall(body, lambda p: F.substring_index(p, END, 1).contains("\n") & (F.length(p) - F.length(F.substring_index(p, END, 1)) == len(END) + 1) & p.endswith(f"{END}\n"))
     turns = F.transform(body, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape_text(F.substring_index(p.substr(F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p)), END, 1)).alias("text")))
     return F.when(good, turns).cast(_TURN)
 

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from ._bytes import blocks, span_hashes, words
 from ._common import cut, trainable
 
-PER_CLASS, MAX_TERMS, MIN_CHI2 = 4000, 1000, 25.0
+PER_CLASS, MAX_TERMS, MIN_CHI2 = 4000, 1000, 10.83
+MIN_DF = 4
 K, BLOCK, POWER, SHRINK = 32, 64, 4, 0.5
 EVIDENCE = 3
 THRESHOLD = 0.3
@@ -75,7 +76,7 @@ def select_terms(bags: DataFrame) -> tuple[list[tuple[int, float]], int]:
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     # 2 x 2 table: a toxic with the term, m - a others with it, pos - a and neg - (m - a) without
     chi2 = n * F.pow(a * (neg - (m - a)) - (m - a) * (pos - a), 2) / (m * (n - m) * F.lit(float(pos)) * F.lit(float(neg)))
-    top = df.where((F.col("m") < n) & (F.col("m") >= 5)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
+    top = df.where((F.col("m") < n) & (F.col("m") >= MIN_DF)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
     rows = top.orderBy(F.desc("chi2"), "t").limit(MAX_TERMS).select("t", (F.log(n / m) + 0.1).alias("idf")).collect()
     return [(r[0], r[1]) for r in rows], n
 
