@@ -32,17 +32,18 @@ from pyspark.sql import functions as F
 from ._bytes import Block, blocks, mix, span_hashes, windows, words
 from ._common import cut
 
-ALPHA, MIN_COUNT, BLOCK_BYTES = 0.4, 2, 8 << 20
+ALPHA, MIN_COUNT, BLOCK_BYTES = 0.4, 2, 5 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Little-endian numbers byte plane by byte plane, which lets the shuffle's compression drop the empty ones."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    """Numbers byte plane by byte plane and compressed: the upper planes of gaps and counts are nearly empty."""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _from_planes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    plain = pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def keys_of(hashes: np.ndarray, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -125,7 +126,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = np.concatenate([_from_planes(x, np.uint64) for x in found.sort_values("shard").drop_duplicates("shard")["counts"]]).astype(np.float64) if len(found) else np.zeros(0)
         for ids, sizes, vocabulary, at in zip(texts["ids"], texts["sizes"], texts["words"], texts["at"], strict=True):
             size = _from_planes(sizes, np.uint32).astype(np.int64)
-            hashes = _from_planes(vocabulary, np.uint64)[_from_planes(at, np.uint32)] if len(at) else np.zeros(0, np.uint64)
+            hashes = _from_planes(vocabulary, np.uint64)[_from_planes(at, np.uint32)]
             own = np.repeat(np.arange(len(size)), size)
             grams = keys_of(hashes, own)
             table, _ = distinct_keys(grams)
