@@ -89,7 +89,7 @@ _ABOVE_SQL = {(-1, 0): "n", (-2, 0): "nn", (-1, -1): "nw", (-1, 1): "ne", (-3, 0
 FROM ctx GROUP BY z, y""")
 def far_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companded network inputs by row, for the lanes that the long form has a window for."""
-    far = C.far_context(rows(spark, sf_dir))
+    far = C.network_inputs(rows(spark, sf_dir))
     lane = lambda i: F.aggregate(F.sequence(F.lit(0), F.size("far") - 1), F.lit(0).cast("bigint"), lambda a, x: a + big(F.get(F.get("far", x), i)) * (x + 1))
     above = {C.ABOVE.index(p): lane(F.lit(C.ABOVE.index(p))) for p in _ABOVE_SQL}
     last = F.when(F.col("three_d"), F.lit(29)).otherwise(F.lit(11))

@@ -60,6 +60,13 @@ def test_context_matches_a_padded_plane(spark, shape, slab, stripe):
             assert r["r"] == r["n"] and r["p0"] is None
 
 
+def test_both_forms_of_far_context_agree(spark):
+    for shape in ((4, 6, 5), (1, 3, 2)):
+        rows = as_rows(spark, volume(*shape))
+        a, b = (sorted(f(rows, 3, 4).collect(), key=lambda r: (r["z"], r["y"])) for f in (C.far_context, C.network_inputs))
+        assert [(r["three_d"], r["far"]) for r in a] == [(r["three_d"], r["far"]) for r in b]
+
+
 def test_far_context_has_all_lanes(spark):
     t = volume(3, 6, 5)
     rows = C.far_context(as_rows(spark, t), 3, 6).collect()
