@@ -81,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op1_lm_score": lmscore.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_chat_format": chat.ORACLE,
+    "op6_warc_audit": warc.ORACLE,
 }

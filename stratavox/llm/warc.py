@@ -101,8 +101,8 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:
-    """A copy of pages in which the page ids whose crc32 leaves 7 modulo 37 have rotted: '<' is '(' in their bodies."""
-    rotten = F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % 37 == 7, F.lit(False))
+    """A copy of pages in which those whose id's md5 is under 07... have rotted: '<' is '(' in their bodies."""
+    rotten = F.coalesce(F.md5(F.col("page_id").cast("string").cast("binary")) < "07", F.lit(False))
     return pages.withColumn("html", F.when(rotten, F.translate("html", "<", "(")).otherwise(F.col("html")))
 
 
@@ -113,3 +113,15 @@ def query(pages: DataFrame) -> DataFrame:
     good = cut(good)
     found = audit(good, archive(damaged_replica(own)))
     return found.join(good.select("place", "page_id"), "place", "left").select("place", "page_id", F.col("begin").alias("begin_byte"), "length", "expected", "found", "status")
+
+
+_SIDE = """SELECT page_id, sha256(rec) AS digest, octet_length(encode(rec))::BIGINT AS length FROM (
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+    FROM (SELECT page_id, url, coalesce({body}, '') AS body FROM pages))"""
+_PLACED = "SELECT *, row_number() OVER w - 1 AS place, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS begin_byte FROM {0} WINDOW w AS (ORDER BY page_id NULLS FIRST, digest)"
+_ROT = "CASE WHEN md5(page_id::VARCHAR) < '07' THEN replace(html, '<', '(') ELSE html END"
+ORACLE = f"""WITH l AS ({_SIDE.format(body="html")}), r AS ({_SIDE.format(body=_ROT)}), a AS ({_PLACED.format("l")}), b AS ({_PLACED.format("r")}),
+d AS (SELECT place, a.page_id, coalesce(a.begin_byte, b.begin_byte) AS begin_byte, coalesce(a.length, b.length) AS length, a.digest AS expected, b.digest AS found
+  FROM a FULL JOIN b USING (place) WHERE a.digest IS DISTINCT FROM b.digest OR a.begin_byte IS DISTINCT FROM b.begin_byte)
+SELECT place, page_id, begin_byte, length, expected, found, CASE WHEN expected IS NULL THEN 'extra' WHEN expected IN (SELECT found FROM d WHERE found IS NOT NULL) THEN 'displaced' WHEN found IS NULL THEN 'missing' ELSE 'damaged' END AS status FROM d"""

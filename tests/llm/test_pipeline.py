@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, and the registered SQL."""
 
+import hashlib
 import sys
 
 import pyarrow as pa
@@ -22,10 +23,8 @@ def test_sql(spark, name):
 
 
 def test_audit_query_names_the_rotten_pages(spark):
-    import zlib
-
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
-    rotten = {r["page_id"] for r in pages if zlib.crc32(str(r["page_id"]).encode()) % 37 == 7 and "<" in (r["html"] or "")}
+    rotten = {r["page_id"] for r in pages if hashlib.md5(str(r["page_id"]).encode()).hexdigest() < "07" and "<" in (r["html"] or "")}
     assert {r["page_id"] for r in Q.op6_warc_audit(spark, DATA).collect()} == rotten
 
 
