@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unreserved bytes of a URI, beside letters and digits (fixed values).
-UNRESERVED = "-_.~"
 XML_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 
@@ -137,3 +135,12 @@ def attribute_decimals(c: Column, n: int) -> Column:
     values = F.transform(parts, lambda p: F.trim(p).try_cast("double"))
     ok = (F.size(parts) == n) & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.when(ok, values)
+
+
+def http_date(seconds: Column) -> Column:
+    """The date of an HTTP header, in GMT whatever the session's time zone; times before 1970 are its start."""
+    t = F.greatest(seconds, F.lit(0)).cast("bigint")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86400).cast("int"))
+    rest = F.pmod(t, F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d GMT", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat_ws(" ", F.date_format(day, "EEE, dd MMM yyyy"), clock)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,3 +87,11 @@ def dense(inputs: Column, layer: Layer) -> Column:
     return F.array(*[one(w, b) for w, b in zip(layer.weights, layer.bias, strict=True)])
 
 
+
+
+def exponents(largest_weight: float, largest_activation: float, input_exponent: int) -> tuple[int, int, int]:
+    """Power-of-two scales of a layer: of its weights, of its activations, and the shift between them."""
+    weight = math.floor(math.log2(127 / (largest_weight or 1e-3)))
+    activation = math.floor(math.log2(127 / max(largest_activation, 1e-3)))
+    shift = weight + input_exponent - activation
+    return (weight, activation, shift) if shift >= 0 else (weight, activation + shift, 0)

@@ -85,3 +85,9 @@ def encode_cell(value: Column, allocated: Column, bits: Column, high: Column, si
         return zero
     above = shift_left(1, allocated.cast("int")) - shift_left(1, (high + 1).cast("int"))
     return F.when(value < 0, zero.bitwiseOR(above)).otherwise(zero)
+
+
+def slice_spacing(first: Column, second: Column) -> Column:
+    """Distance of the positions of a stack's first two slices; null unless both are known."""
+    squares = F.zip_with(first, second, lambda a, b: (b - a) * (b - a))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))

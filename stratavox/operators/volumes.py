@@ -7,7 +7,8 @@ one record per row, and samples are only exploded where each is aggregated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,3 +75,23 @@ def central_window(z: Column, n: Column, depth: int) -> Column:
     """True for the depth slices in the middle of n."""
     lo = div(F.greatest(n - depth, F.lit(0)), 2)
     return (z >= lo) & (z < lo + depth)
+
+
+def from_numpy(spark: SparkSession, array: np.ndarray, volume_id: str, bits: int) -> DataFrame:
+    """Rows (volume_id, z, y, s) of a 2-D or 3-D array; samples outside the bits are an error that names the first."""
+    t = array[None] if array.ndim == 2 else array
+    if t.ndim != 3 or 0 in t.shape:
+        raise ValueError(f"shape {array.shape}")
+    signed = t.dtype.kind == "i"
+    lo, hi = (-(1 << (bits - 1)), (1 << (bits - 1)) - 1) if signed else (0, (1 << bits) - 1)
+    if len(bad := np.argwhere((t < lo) | (t > hi))):
+        raise ValueError(f"value {t[tuple(bad[0])]} outside [{lo}, {hi}]")
+    rows = [(volume_id, z, y, t[z, y].tolist()) for z in range(t.shape[0]) for y in range(t.shape[1])]
+    return spark.createDataFrame(rows, "volume_id string, z int, y int, s array<int>")
+
+
+def to_numpy(rows: DataFrame) -> np.ndarray:
+    """The array (z, y, x) of one volume's rows: for volumes that fit the driver."""
+    got = sorted((r["z"], r["y"], r["s"]) for r in rows.select("z", "y", "s").toLocalIterator())
+    depth = len({z for z, _, _ in got})
+    return np.array([s for _, _, s in got]).reshape(depth, -1, len(got[0][2]))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratavox.functions.integers import big
 from stratavox.operators import stacks as S
 from stratavox.plans.registry import query, table
 

@@ -103,3 +103,18 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split(":")[-1].lstrip("/")
     return slices(files.withColumn("path", F.regexp_replace("path", f"^.*{root}/", "")))
+
+
+def described(spark: SparkSession, folder: str, split: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Slices of the volumes of a folder of <id>.json and <id>.npy files, with the fields of their descriptions.
+
+    Descriptions are filtered before a volume is opened: only files whose id is left are read.
+    """
+    about = spark.read.option("multiLine", "true").json(f"{folder}/*.json")
+    if split:
+        about = about.where(F.col("split") == split)
+    if exclude:
+        about = about.where(~F.col("id").isin(*exclude))
+    files = spark.read.format("binaryFile").load(f"{folder}/*.npy")
+    named = files.withColumn("id", F.regexp_extract("path", r"([^/]*)\.npy$", 1)).join(about.select("id"), "id", "left_semi")
+    return slices(named).withColumn("id", F.regexp_extract("path", r"([^/]*)\.npy$", 1)).join(about, "id")

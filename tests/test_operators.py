@@ -220,3 +220,46 @@ def test_streaming_sessions(spark, data, tmp_path):
     want = index.quiet_sessions(log, 7200)
     closed = {(r["series"], r["n"], r["bytes"]) for r in got.collect()}
     assert closed and closed <= {(r["series"], r["n"], r["bytes"]) for r in want.collect()}
+
+
+def test_http_dates_and_spacing(spark):
+    df = spark.createDataFrame([(0,), (784111777,), (-5,)], "t long")
+    assert [r[0] for r in df.select(T.http_date(F.col("t"))).collect()] == ["Thu, 01 Jan 1970 00:00:00 GMT", "Sun, 06 Nov 1994 08:49:37 GMT", "Thu, 01 Jan 1970 00:00:00 GMT"]
+    from stratavox.operators.stacks import slice_spacing
+
+    p = spark.createDataFrame([([0.0, 0.0, 1.0], [3.0, 4.0, 1.0]), (None, [1.0, 1.0, 1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in p.select(slice_spacing(F.col("a"), F.col("b"))).collect()] == [5.0, None]
+
+
+def test_numpy_in_and_out(spark):
+    t = volume(3, 4, 5).astype("<i2")
+    assert (V.to_numpy(V.from_numpy(spark, t, "v", 13)) == t).all()
+    with pytest.raises(ValueError, match="outside"):
+        V.from_numpy(spark, t, "v", 3)
+    assert network.exponents(0.5, 10.0, 4) == (7, 3, 8) and network.exponents(100.0, 0.01, 0)[2] == 0
+
+
+def test_described_volumes(tmp_path, spark):
+    import json
+
+    for name, split in (("a", "train"), ("b", "test"), ("c", "test")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": name, "split": split, "modality": "CT"}))
+        (tmp_path / f"{name}.npy").write_bytes(arrays.write_npy(volume(2, 3, 4).astype("<i2")))
+    got = arrays.described(spark, str(tmp_path), split="test", exclude=("c",)).collect()
+    assert {(r["id"], r["modality"], r["z"]) for r in got} == {("b", "CT", 0), ("b", "CT", 1)}
+
+
+def test_splits_and_summaries(spark):
+    from stratavox.operators import evaluation as E
+
+    df = spark.range(2000)
+    share = df.select(F.avg(E.validation(F.col("id"), 0.25).cast("int"))).first()[0]
+    assert 0.2 < share < 0.3
+    s = spark.createDataFrame([("a", 1), (None, 2)], "g string, n int")
+    assert [r[0] for r in E.as_table(s).collect()] == ["| a | 1 |", "|  | 2 |"] and '"n":1' in E.as_json(s).first()[0]
+
+
+def test_command_line(capsys):
+    from stratavox.__main__ import main
+
+    assert main(["no such query", "x"]) == 2 and "volume_stats" in capsys.readouterr().err
