@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,14 @@ from ._bytes import Block, blocks, mix, run_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, RANK_SHIFT, SEED = 3, 2.0, 42
+#: Characters of the segments that a worker remembers before it starts anew: about 40 MB of lattice.
+KNOWN_CHARS = 500_000
 _SPACE, _ESCAPED = 0x2581, 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Multiplier of a generator whose upper bits are used: one multiplication a step.
+_STEP = np.uint64(6364136223846793005)
 _EPS = 1e-12
+_ALL = (1 << 64) - 1
 _TYPE = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double>>"
 
 
@@ -54,12 +60,23 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _uniform_int(x: int) -> float:
+    """_uniform() of one key."""
+    x &= _ALL
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _ALL
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
+
+
 class Vocabulary:
     """Pieces of a sentencepiece model: hashes, weights, and the pairs of characters that some piece spans."""
 
     def __init__(self, model: str):
         import sentencepiece
 
+        self.known = Known()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.byte_id = np.zeros(256, np.int32)
@@ -80,13 +97,18 @@ class Vocabulary:
         weight = -np.log(RANK_SHIFT + np.arange(len(ids), dtype=np.float64))
         total = np.log(np.exp(weight).sum() + 1)
         self.byte_weight = -np.log(RANK_SHIFT + len(ids)) - total
-        key = np.array([self._hash(c)[-1] for c in chars], np.uint64)
+        key, prefixes = self._hashes(chars, size)
         order = np.argsort(key)
         self.key, self.id, self.weight = key[order], np.array(ids, np.int32)[order], (weight - total)[order]
+        # place in `key` of the first key with given top bits, counted from 1: 22 bits, then a step or two for crowded ones
+        self.table_bits = 22
+        top = self.key >> np.uint64(64 - self.table_bits)
+        self.table = np.zeros(1 << self.table_bits, np.int32)
+        self.table[top[::-1]] = np.arange(len(top), 0, -1)
+        self.crowded = int(np.unique(top, return_counts=True)[1].max()) - 1
         self.prefix = np.zeros(1 << 22, bool)
-        for c in chars:
-            self.prefix[self._hash(c) >> np.uint64(42)] = True
-        flat = np.unique(np.concatenate(chars))
+        self.prefix[prefixes >> np.uint64(42)] = True
+        flat = np.unique(np.concatenate([c for c in chars if len(c) > 1] or [np.zeros(0, np.uint32)]))
         self.kind = np.zeros(0x110001, np.int16)
         self.kind[flat] = np.arange(1, len(flat) + 1)
         self.pair = np.zeros((len(flat) + 1, len(flat) + 1), bool)
@@ -94,37 +116,42 @@ class Vocabulary:
             self.pair[self.kind[c[:-1]], self.kind[c[1:]]] = True
 
     @staticmethod
-    def _hash(chars: np.ndarray) -> np.ndarray:
-        """Hashes of all prefixes."""
-        out, h = np.empty(len(chars), np.uint64), np.zeros(1, np.uint64)
-        for i, c in enumerate(mix(chars.astype(np.uint64) + np.uint64(1))):
-            h = h * _BASE + c
-            out[i] = mix(h)[0]
-        return out
+    def _hashes(chars: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pieces, and of all their prefixes."""
+        flat, start = mix(np.concatenate(chars).astype(np.uint64) + np.uint64(1)), np.cumsum(size) - size
+        h, key, prefixes = np.zeros(len(chars), np.uint64), np.zeros(len(chars), np.uint64), []
+        for n in range(int(size.max())):
+            own = np.flatnonzero(size > n)
+            h[own] = h[own] * _BASE + flat[start[own] + n]
+            key[own] = mix(h[own])
+            prefixes.append(key[own])
+        return key, np.concatenate(prefixes)
 
 
 @dataclass
 class Lattice:
-    """The distinct segments of a block, laid end to end, with their edges and conditional probabilities.
+    """The distinct segments of a block, laid end to end, with the edges that leave each place.
 
-    edge[p, n] is the id of the piece of n + 1 characters at place p, -1 for none, -2 for the bytes of its character.
+    Edges first[p] to first[p + 1] leave place p, by size: edge is a piece's id, or -2 for the bytes of the character;
+    it takes size characters with the conditional log-probability log_cond. below sums the probabilities of a place's
+    edges up to this one, and is infinite at the last.
     """
 
     chars: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    first: np.ndarray
     edge: np.ndarray
+    size: np.ndarray
     log_cond: np.ndarray
-    cum: np.ndarray
+    below: np.ndarray
 
 
-def lattice(v: Vocabulary, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> Lattice:
-    """start, end: bounds of the segments, which cover chars in order."""
-    n, last = len(chars), np.repeat(end, end - start)
-    widest = max(1, min(v.longest, int((end - start).max()))) if n else 1
-    edge, weight = np.full((n, widest), -1, np.int32), np.full((n, widest), -np.inf)
+def _edges(v: Vocabulary, chars: np.ndarray, last: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sizes, ids and weights of all edges, in order of place and size; last: the end of each place's segment."""
+    n = len(chars)
     code, h, alive = mix(chars.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64), np.arange(n)
-    used = 1
+    found, bare = [], np.ones(n, bool)
     for size in range(1, widest + 1):
         alive = alive[alive + size <= last[alive]]
         h[alive] = h[alive] * _BASE + code[alive + size - 1]
@@ -133,28 +160,117 @@ def lattice(v: Vocabulary, chars: np.ndarray, start: np.ndarray, end: np.ndarray
         alive, key = alive[ok], key[ok]
         if not len(alive):
             break
-        at = np.minimum(np.searchsorted(v.key, key), len(v.key) - 1)
-        hit = v.key[at] == key
-        edge[alive[hit], size - 1], weight[alive[hit], size - 1] = v.id[at[hit]], v.weight[at[hit]]
-        used = size
-    bare = edge[:, 0] == -1
-    edge[bare, 0] = -2
-    weight[bare, 0] = v.byte_weight * _utf8_size(chars[bare])
-    edge, weight = edge[:, :used], weight[:, :used]
-    beta = np.zeros(n + used + 1)
-    order = np.argsort(start - end, kind="stable")
-    sizes, ends = (end - start)[order], end[order]
-    steps = np.arange(1, used + 1)
-    for k in range(1, int(sizes[0]) + 1 if n else 1):
-        p = ends[: int(np.searchsorted(-sizes, -k, side="right"))] - k
-        x = weight[p] + beta[p[:, None] + steps]
-        top = x.max(axis=1)
-        total = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        weight[p] = x - total[:, None]
-        beta[p] = total
-        beta[ends[: len(p)]] = 0  # a segment's end is the next one's start: nothing else reads that place
-    cum = np.cumsum(np.exp(weight), axis=1)
-    return Lattice(chars, start, end, edge, weight, cum)
+        slot = v.table[key >> np.uint64(64 - v.table_bits)]
+        hit = slot > 0
+        for _ in range(v.crowded):  # keys that share their top bits follow each other
+            step = np.flatnonzero(hit)
+            step = step[(v.key[slot[step] - 1] < key[step]) & (slot[step] < len(v.key))]
+            slot[step] += 1
+        hit[hit] = v.key[slot[hit] - 1] == key[hit]
+        at = alive[hit]
+        if size == 1:
+            bare[at] = False
+        found.append((at, np.full(len(at), size, np.int64), v.id[slot[hit] - 1], v.weight[slot[hit] - 1]))
+    alone = np.flatnonzero(bare)
+    found.insert(0, (alone, np.ones(len(alone), np.int64), np.full(len(alone), -2, np.int32), v.byte_weight * _utf8_size(chars[alone])))
+    place, size, code, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place, kind="stable")
+    return place[order], size[order], code[order], weight[order]
+
+
+def lattice(v: Vocabulary, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> Lattice:
+    """start, end: bounds of the segments, which cover chars in order."""
+    n = len(chars)
+    widest = max(1, min(v.longest, int((end - start).max()))) if n else 1
+    place, own, code, value = _edges(v, chars, np.repeat(end, end - start), widest)
+    leaving = np.r_[0, np.cumsum(np.bincount(place, minlength=n))]
+    # backward sums, from the last characters of all segments to their first: edges in order of the distance to the end
+    stop = np.repeat(end, end - start)
+    left = stop - np.arange(n)
+    order = np.argsort(left.astype(np.uint16 if n and left.max() < 1 << 16 else np.int64)[place], kind="stable")
+    at, x_all = place[order], value[order]
+    to = at + own[order]
+    to[to == stop[at]] = n  # nothing follows
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if n else np.zeros(0, np.int64)
+    head = np.r_[first, len(at)]
+    bounds = np.searchsorted(left[at[first]], np.arange(1, int(left.max()) + 2)) if n else []
+    beta, share = np.zeros(n + 1), np.empty(len(at))
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        e = slice(head[i], head[j])
+        group, count = first[i:j] - head[i], np.diff(head[i : j + 1])
+        x = x_all[e] + beta[to[e]]
+        top = np.maximum.reduceat(x, group)
+        x -= np.repeat(top, count)
+        mass = np.exp(x)
+        total = np.add.reduceat(mass, group)
+        log = np.log(total)
+        x_all[e], share[e] = x - np.repeat(log, count), mass / np.repeat(total, count)
+        beta[at[first[i:j]]] = top + log
+    log_cond, below = np.empty(len(at)), np.empty(len(at))
+    if n:
+        run = np.cumsum(share)
+        log_cond[order] = x_all
+        below[order] = run - np.repeat(run[first] - share[first], np.diff(head))
+        below[leaving[1:] - 1] = np.inf  # a draw ends at the last edge, whatever the rounding
+    return Lattice(chars, start, end, leaving, code, own.astype(np.int8), log_cond, below)
+
+
+class Known:
+    """The segments that a worker has met, with their lattice: frequent ones are laid out once, not in every block."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.kinds, self.blocks, self.lat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def prune(self) -> None:
+        """Keeps the segments that more than one block had; starts anew if those are most of them."""
+        keep = self.blocks > 1
+        lat, old = self.lat, np.flatnonzero(keep)
+        size = (lat.end - lat.start)[old]
+        if size.sum() > KNOWN_CHARS // 2:
+            self.clear()
+            return
+        stop = np.cumsum(size)
+        at = np.repeat(lat.start[old] - (stop - size), size) + np.arange(int(size.sum()))
+        many = np.diff(lat.first)[at]
+        first = np.r_[0, np.cumsum(many)]
+        e = np.repeat(lat.first[at] - first[:-1], many) + np.arange(first[-1])
+        self.lat = Lattice(lat.chars[at], stop - size, stop, first, lat.edge[e], lat.size[e], lat.log_cond[e], lat.below[e])
+        own = keep[self.kinds]
+        self.keys, self.kinds = self.keys[own], (np.cumsum(keep) - 1)[self.kinds[own]]
+        self.blocks = np.ones(len(old), np.int64)
+
+    def kinds_of(self, v: Vocabulary, hashes: np.ndarray, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that holds all segments given, and each one's number in it."""
+        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.lat is not None and len(self.lat.chars) > KNOWN_CHARS:
+            self.prune()
+        at = np.searchsorted(self.keys, own)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == own[there]
+        if not there.all() or self.lat is None:
+            new = np.flatnonzero(~there)
+            size = (end - start)[first[new]]
+            stop = np.cumsum(size)
+            flat = chars[np.repeat(start[first[new]] - (stop - size), size) + np.arange(int(size.sum()))]
+            fresh = lattice(v, flat, stop - size, stop)
+            n = 0 if self.lat is None else len(self.lat.start)
+            self.lat = fresh if self.lat is None else _append(self.lat, fresh)
+            keys, kinds = np.r_[self.keys, own[new]], np.r_[self.kinds, n + np.arange(len(new))]
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.kinds, self.blocks = keys[order], kinds[order], np.r_[self.blocks, np.zeros(len(new), np.int64)]
+            at = np.searchsorted(self.keys, own)
+        self.blocks[self.kinds[at]] += 1
+        return self.lat, self.kinds[at][back]
+
+
+def _append(a: Lattice, b: Lattice) -> Lattice:
+    """b behind a."""
+    n = len(a.chars)
+    both = (np.concatenate([getattr(x, f) for x in (a, b)]) for f in ("edge", "size", "log_cond", "below"))
+    return Lattice(np.r_[a.chars, b.chars], np.r_[a.start, b.start + n], np.r_[a.end, b.end + n], np.r_[a.first, a.first[-1] + b.first[1:]], *both)
 
 
 def _utf8_size(chars: np.ndarray) -> np.ndarray:
@@ -183,6 +299,7 @@ class Draw:
 
     edge: np.ndarray  # edge codes, by instance and step
     at: np.ndarray  # place of each edge in the lattice
+    slot: np.ndarray  # slot of each edge at its place
     bounds: np.ndarray  # of each instance's edges
     log_prob: np.ndarray
 
@@ -191,25 +308,29 @@ def draw(lat: Lattice, kind: np.ndarray, key: np.ndarray) -> Draw:
     """Free draws of the segment instances of the kinds given; key: an instance's random key."""
     n = len(kind)
     log_prob, count = np.zeros(n), np.zeros(n, np.int64)
-    live, p, stop = np.arange(n), lat.start[kind], lat.end[kind]
+    live, p, stop, state = np.arange(n), lat.start[kind], lat.end[kind], mix(key)
     steps = []
-    step = 0
     while len(live):
-        u = _uniform(key[live] + np.uint64(step * 0x51ED2701 + 1))
-        cum = lat.cum[p]
-        size = np.minimum((cum < (u * cum[:, -1])[:, None]).sum(axis=1), cum.shape[1] - 1)
-        steps.append((live, p, lat.edge[p, size]))
-        log_prob[live] += lat.log_cond[p, size]
+        u = (state >> np.uint64(11)).astype(np.float64)
+        u *= 1 / (1 << 53)
+        base = lat.first[p]
+        at = base.copy()
+        more = np.flatnonzero(lat.below[at] <= u)
+        while len(more):
+            at[more] += 1
+            more = more[lat.below[at[more]] <= u[more]]
+        steps.append((live, p.astype(np.int32), lat.edge[at], (at - base).astype(np.int8)))
+        log_prob[live] += lat.log_cond[at]
         count[live] += 1
-        p = p + size + 1
-        on = p < stop
-        live, p, stop = live[on], p[on], stop[on]
-        step += 1
+        p = p + lat.size[at]
+        on = np.flatnonzero(p < stop)
+        live, p, stop, state = live[on], p[on], stop[on], state[on] * _STEP + _BASE
     bounds = np.r_[0, np.cumsum(count)]
-    edge, at = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int64)
-    for k, (own, place, code) in enumerate(steps):
-        edge[bounds[own] + k], at[bounds[own] + k] = code, place
-    return Draw(edge, at, bounds, np.minimum(log_prob, 0))
+    edge, at, slot = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int8)
+    for k, (own, place, code, choice) in enumerate(steps):
+        to = bounds[own] + k
+        edge[to], at[to], slot[to] = code, place, choice
+    return Draw(edge, at, slot, bounds, np.minimum(log_prob, 0))
 
 
 @dataclass
@@ -220,42 +341,43 @@ class Trie:
     mass: float = 0.0
 
 
-def draw_other(lat: Lattice, kind: int, excluded: list[tuple[int, ...]], key: int) -> tuple[list[int], list[int], float]:
-    """Edges, places and log-probability of a draw that is none of `excluded` (tuples of piece sizes less one)."""
+def draw_other(lat: Lattice, kind: int, excluded: list[tuple[int, ...]], key: int) -> tuple[list[int], list[int], list[int], float]:
+    """Edges, places, slots and log-probability of a draw that is none of `excluded` (tuples of slots)."""
     root = Trie()
     for path in excluded:
         node, p, logs = root, int(lat.start[kind]), []
         nodes = [root]
-        for size in path:
-            node = node.children.setdefault(size, Trie())
+        for slot in path:
+            node = node.children.setdefault(slot, Trie())
             nodes.append(node)
-            logs.append(float(lat.log_cond[p, size]))
-            p += size + 1
+            e = int(lat.first[p]) + slot
+            logs.append(float(lat.log_cond[e]))
+            p += int(lat.size[e])
         for i, x in enumerate(nodes):
             x.mass += float(np.exp(sum(logs[i:])))
     node, p, stop, step = root, int(lat.start[kind]), int(lat.end[kind]), 0
-    edges, places, log_prob = [], [], 0.0
+    edges, places, slots, log_prob = [], [], [], 0.0
     while p < stop:
-        w = np.exp(lat.log_cond[p])
-        for size, child in (node.children.items() if node else ()):
-            w[size] = w[size] * max(0.0, 1 - child.mass) if child.mass < 1 - _EPS else 0.0
-        cum = np.cumsum(w)
-        u = float(_uniform(np.array([(key + step * 0x51ED2701 + 7) & (2**64 - 1)], np.uint64))[0])
-        size = min(int((cum < u * cum[-1]).sum()), len(w) - 1)
-        edges.append(int(lat.edge[p, size]))
+        e = int(lat.first[p])
+        logs = lat.log_cond[e : int(lat.first[p + 1])].tolist()
+        w = [exp(x) for x in logs]
+        for slot, child in node.children.items() if node else ():
+            w[slot] = w[slot] * max(0.0, 1 - child.mass) if child.mass < 1 - _EPS else 0.0
+        left, slot = _uniform_int(key + step * 0x51ED2701 + 7) * sum(w), 0
+        last = max(i for i, x in enumerate(w) if x > 0)
+        while slot < last and (left >= w[slot] or not w[slot]):
+            left -= w[slot]
+            slot += 1
+        edges.append(int(lat.edge[e + slot]))
         places.append(p)
-        log_prob += float(lat.log_cond[p, size])
-        node = node.children.get(size) if node else None
-        p, step = p + size + 1, step + 1
-    return edges, places, min(log_prob, 0.0)
-
+        slots.append(slot)
+        log_prob += logs[slot]
+        node = node.children.get(slot) if node else None
+        p, step = p + int(lat.size[e + slot]), step + 1
+    return edges, places, slots, min(log_prob, 0.0)
 
-def _sizes(d: Draw, i: int, stop: int) -> tuple[int, ...]:
-    at = np.r_[d.at[d.bounds[i] : d.bounds[i + 1]], stop]
-    return tuple((np.diff(at) - 1).tolist())
 
-
-def _replace(d: Draw, at: dict[int, tuple[list[int], list[int], float]]) -> Draw:
+def _replace(d: Draw, at: dict[int, tuple[list[int], list[int], list[int], float]]) -> Draw:
     """d with the draws of some instances put in."""
     count = np.diff(d.bounds)
     keep = np.ones(len(d.edge), bool)
@@ -265,15 +387,15 @@ def _replace(d: Draw, at: dict[int, tuple[list[int], list[int], float]]) -> Draw
     new = count.copy()
     new[own] = [len(at[i][0]) for i in own]
     bounds = np.r_[0, np.cumsum(new)]
-    edge, place = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int64)
-    same = np.ones(len(count), bool)
-    same[own] = False
+    edge, place, slot = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int8)
     target = np.repeat(bounds[:-1] - d.bounds[:-1], count)[keep] + np.flatnonzero(keep)
-    edge[target], place[target] = d.edge[keep], d.at[keep]
+    edge[target], place[target], slot[target] = d.edge[keep], d.at[keep], d.slot[keep]
     log_prob = d.log_prob.copy()
-    for i in own:
-        edge[bounds[i] : bounds[i + 1]], place[bounds[i] : bounds[i + 1]], log_prob[i] = at[i]
-    return Draw(edge, place, bounds, log_prob)
+    if own:
+        to = np.repeat(bounds[own] - (np.cumsum(new[own]) - new[own]), new[own]) + np.arange(int(new[own].sum()))
+        edge[to], place[to], slot[to] = (np.concatenate([at[i][k] for i in own]) for k in range(3))
+        log_prob[own] = [at[i][3] for i in own]
+    return Draw(edge, place, slot, bounds, log_prob)
 
 
 def _merge(a: Draw, b: Draw, from_b: np.ndarray) -> Draw:
@@ -282,7 +404,7 @@ def _merge(a: Draw, b: Draw, from_b: np.ndarray) -> Draw:
     bounds = np.r_[0, np.cumsum(count)]
     source = np.where(from_b, b.bounds[:-1] + len(a.edge), a.bounds[:-1])
     at = np.repeat(source - bounds[:-1], count) + np.arange(bounds[-1])
-    return Draw(np.concatenate([a.edge, b.edge])[at], np.concatenate([a.at, b.at])[at], bounds, np.where(from_b, b.log_prob, a.log_prob))
+    return Draw(np.concatenate([a.edge, b.edge])[at], np.concatenate([a.at, b.at])[at], np.concatenate([a.slot, b.slot])[at], bounds, np.where(from_b, b.log_prob, a.log_prob))
 
 
 def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -296,11 +418,7 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
     chars, start, end, docs = cut_segments(v, b)
     bounds = np.searchsorted(docs, np.arange(b.n + 1))
     hashes = run_hashes(mix(chars.astype(np.uint64) + np.uint64(1)), start, end)
-    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    size = (end - start)[first]
-    stop = np.cumsum(size)
-    flat = chars[np.repeat(start[first] - (stop - size), size) + np.arange(int(size.sum()))]
-    lat = lattice(v, flat, stop - size, stop)
+    lat, kind = v.known.kinds_of(v, hashes, chars, start, end)
     n, doc_key = len(kind), mix(row_key + np.uint64(SEED))
     place = np.arange(n) - bounds[docs]
     order = lambda r, what: mix(doc_key[docs] + np.uint64((r * 8 + what) * 0x632BE5AB)) + place.astype(np.uint64) * _BASE
@@ -322,7 +440,8 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
     top = -np.log(-np.log(_uniform(doc_key + np.uint64(11))))
     draws, values = [draw(lat, kind, order(0, 0))], [top]
     groups = [siblings(draws[0], 0, top, np.zeros(b.n, np.int64), {})]
-    excluded: list[dict[int, list[tuple[int, ...]]]] = [{}]  # by sample: what is taken at an instance, if more than its own
+    # by sample: what is taken at an instance, if more than its own, and the mass of that
+    excluded: list[dict[int, tuple[list[tuple[int, ...]], float]]] = [{}]
     per_doc = np.full((samples + 1, b.n), -np.inf)
     at_doc = np.zeros((samples + 1, b.n), np.int64)
 
@@ -345,12 +464,11 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
         for d in open_.tolist():
             s, i = int(which[d]), int(at_doc[which[d], d])
             since[d] = place[i]
-            paths = [*excluded[s].get(i, []), _sizes(draws[s], i, int(lat.end[kind[i]]))]
-            got = draw_other(lat, int(kind[i]), paths, int(order_key(doc_key[d], r, int(place[i]))))
-            own[i] = got
-            sizes = tuple((np.diff([*got[1], int(lat.end[kind[i]])]) - 1).tolist())
-            taken[i] = paths
-            spent[i] = sum(_path_mass(lat, int(kind[i]), x) for x in [*paths, sizes])
+            source = draws[s]
+            paths, mass = excluded[s].get(i, ([], 0.0))
+            paths, mass = [*paths, tuple(source.slot[source.bounds[i] : source.bounds[i + 1]].tolist())], mass + exp(source.log_prob[i])
+            got = draw_other(lat, int(kind[i]), paths, int(doc_key[d]) + r * 0x7F4A7C15 + int(place[i]) * 0x2545F491)
+            own[i], taken[i], spent[i] = got, (paths, mass), mass + exp(got[3])
             groups[s][i] = -np.inf
         for s in range(r):
             best(s)
@@ -373,18 +491,6 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
         yield rows
 
 
-def order_key(doc_key: np.uint64, r: int, place: int) -> int:
-    return int(mix(np.array([(int(doc_key) + r * 0x7F4A7C15 + place * 0x2545F491) & (2**64 - 1)], np.uint64))[0])
-
-
-def _path_mass(lat: Lattice, kind: int, path: tuple[int, ...]) -> float:
-    p, total = int(lat.start[kind]), 0.0
-    for size in path:
-        total += float(lat.log_cond[p, size])
-        p += size + 1
-    return float(np.exp(min(total, 0.0)))
-
-
 def _ids(v: Vocabulary, lat: Lattice, d: Draw, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """Piece ids of each document; byte edges become the ids of their bytes."""
     spelled = np.flatnonzero(d.edge == -2)
