@@ -14,8 +14,13 @@ ARROW_ROWS = 500
 HELD_OUT = (4, 2)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch for the session: every query and stage does so before it plans."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -45,8 +45,8 @@ from ._bytes import Block, blocks, mix, run_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, RANK_SHIFT, SEED = 3, 2.0, 42
-#: Characters of the segments that a worker remembers before it starts anew: about 40 MB of lattice.
-KNOWN_CHARS = 500_000
+#: Characters of the segments that a worker remembers before it starts anew: about 20 MB of lattice.
+KNOWN_CHARS = 200_000
 _SPACE, _ESCAPED = 0x2581, 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of a generator whose upper bits are used: one multiplication a step.
@@ -522,7 +522,7 @@ def sample_array(texts: pa.Array, keys: pa.Array, samples: int, model: str) -> p
     v = vocabulary(model)
     row_key = np.array(keys.fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
     ids, counts, logs, values, inclusion, many = [], [], [], [], [], []
-    for b in blocks(texts, lower=False, most=2 << 20):
+    for b in blocks(texts, lower=False, most=1 << 19):
         for rows in sample_block(v, b, row_key[b.first : b.first + b.n], samples):
             many.append(len(rows))
             for own, lp, g, q in rows:
