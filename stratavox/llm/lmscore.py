@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._bytes import Block, blocks, mix, span_hashes, windows, words
 from ._common import cut
 
-ALPHA, MIN_COUNT, BLOCK_BYTES = 0.4, 2, 5 << 20
+ALPHA, MIN_COUNT, BLOCK_BYTES = 0.4, 2, 9 << 19
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -75,7 +75,7 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block
     def fold() -> Iterator[tuple[int, Block, pa.Array]]:
         whole = pa.Table.from_batches(held).combine_chunks()
         texts, ids = whole.column(1).combine_chunks(), whole.column(0).combine_chunks()
-        for b in blocks(texts, lower=True, most=BLOCK_BYTES):
+        for b in blocks(texts, lower=True, most=2 * BLOCK_BYTES):
             own = ids.slice(b.first, b.n)
             parts = np.r_[np.array(own.fill_null(-1), np.int64).view(np.uint64), b.offs.astype(np.uint64), np.uint64(len(b.buf))]
             digest = span_hashes(b.buf, np.zeros(1, int), np.array([len(b.buf)])) if len(b.buf) else np.zeros(1, np.uint64)
@@ -119,14 +119,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             starts, ends, own = words(b)
             vocabulary, at = np.unique(span_hashes(b.buf, starts, ends), return_inverse=True)
             per_doc = np.bincount(own, minlength=b.n)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_planes(per_doc.astype(np.uint32))]), pa.array([_planes(vocabulary)]), pa.array([_planes(at.astype(np.uint32))])], names=["block", "ids", "sizes", "words", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_planes(per_doc.astype(np.uint32))]), pa.array([_planes(np.diff(vocabulary, prepend=np.uint64(0)))]), pa.array([_planes(at.astype(np.uint32))])], names=["block", "ids", "sizes", "words", "at"])
 
     def add(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         counts = np.concatenate([_from_planes(x, np.uint64) for x in found.sort_values("shard").drop_duplicates("shard")["counts"]]).astype(np.float64) if len(found) else np.zeros(0)
         for ids, sizes, vocabulary, at in zip(texts["ids"], texts["sizes"], texts["words"], texts["at"], strict=True):
             size = _from_planes(sizes, np.uint32).astype(np.int64)
-            hashes = _from_planes(vocabulary, np.uint64)[_from_planes(at, np.uint32)]
+            hashes = np.cumsum(_from_planes(vocabulary, np.uint64), dtype=np.uint64)[_from_planes(at, np.uint32)]
             own = np.repeat(np.arange(len(size)), size)
             grams = keys_of(hashes, own)
             table, _ = distinct_keys(grams)
