@@ -13,8 +13,10 @@ i+2, i+3, i+4 agree. So 8 * 3 keys of 32 bits find all links; a candidate's
 whole chain is tested before the full distance.
 
 Scale. Copies are first folded into distinct fingerprints. A key shared by more
-than HOT fingerprints is compared in tiles of TILE x TILE fingerprints, each a
-bounded group that returns a spanning forest of its links, not its pairs.
+than HOT fingerprints is compared in tiles of about TILE x TILE fingerprints, dealt
+by a hash, each a group that returns a spanning forest of its links, not its
+pairs. Keys are counted with map-side sums and their sizes joined back, so that
+no task has to hold all the fingerprints of a key.
 Components of the link graph are found by alternating star contractions, each
 written to the checkpoint folder.
 
@@ -32,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._bytes import blocks, tokens
 from ._common import cut, fresh
@@ -104,6 +105,8 @@ def _chain(x: Column, start: int) -> Column:
 
 def tile_links(fps: np.ndarray, other: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links in a tile; fps and other are unsigned and sorted."""
+    if not len(fps) or not len(other):
+        return []  # a hash may leave one side of a tile empty
     left, right = [], []
     for start in range(0, len(fps), 64):
         x = fps[start : start + 64, None] ^ other[None, :]
@@ -138,7 +141,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, whose components are those of all links of the distinct fingerprints in column fp."""
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(_MASKS)])
     index = fps.select("fp", F.explode(keys).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-    sized = cut(index.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).where("n > 1"))
+    tally = index.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    sized = cut(index.join(tally, ["t", "k"]))
     cold = sized.where(F.col("n") <= HOT)
     x = F.col("a").bitwiseXOR(F.col("b"))
     pairs = cold.select("t", "k", F.col("fp").alias("a")).join(cold.select("t", "k", F.col("fp").alias("b")), ["t", "k"]).where("a < b")
@@ -147,9 +151,9 @@ def links(fps: DataFrame) -> DataFrame:
         chained |= F.col("t").between(3 * i, 3 * i + 2) & _chain(x, i)
     found = pairs.where(chained & (F.bit_count(x) <= DISTANCE)).select("a", "b")
 
-    rank = F.row_number().over(Window.partitionBy("t", "k").orderBy("fp")) - 1
-    hot = sized.where(F.col("n") > HOT).withColumn("i", F.floor(rank / TILE).cast("int"))
-    tiles = hot.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / TILE).cast("int"))))
+    last = F.floor((F.col("n") - 1) / TILE)
+    hot = sized.where(F.col("n") > HOT).select("t", "k", "fp", last.cast("int").alias("last"), F.pmod(F.xxhash64("fp"), last + 1).cast("int").alias("i"))
+    tiles = hot.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("last"))))
     tiles = tiles.select("t", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", (F.col("i") <= F.col("j")).alias("first"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
