@@ -11,8 +11,14 @@ exploded n-grams of the blocks is a lookup of sorted keys. Each block gets its
 counts back and sums over its documents. What moves is one 8-byte key (sorted,
 as gaps) for a distinct n-gram of a block and one count back, not a row per
 occurrence, and an n-gram that is in every document is still one key a block, so
-no key is hot. Shards are as many as spark.sql.shuffle.partitions: size it so
-that a shard's keys fit a task, as for any shuffle.
+no key is hot. Shards are as many as spark.sql.shuffle.partitions, or
+SHARDS_PER_SPLIT for every input split if that is more: splits are bounded by
+spark.sql.files.maxPartitionBytes, so a shard's keys stay within a task's memory
+however large the corpus is.
+
+The documents are scanned twice and must be cut alike: docs should be a table
+read from files, or written or checkpointed before (else an error is raised,
+never a wrong score).
 
 Defined cases: a null, empty or word-less text has no words, score 0 and a null
 mean; history does not cross documents; repeated rows each count and are each
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from ._bytes import Block, blocks, mix, span_hashes, windows, words
 from ._common import cut
 
-ALPHA, MIN_COUNT, BLOCK_BYTES = 0.4, 2, 9 << 19
+ALPHA, MIN_COUNT, BLOCK_BYTES, SHARDS_PER_SPLIT = 0.4, 2, 9 << 19, 4
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -93,8 +99,8 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, words scored by trigram, bigram and unigram, log_score and mean_log_score of every document."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARDS_PER_SPLIT * rows.rdd.getNumPartitions())
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, _ in _text_blocks(batches):
@@ -146,10 +152,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = rows.mapInArrow(explode, "block bigint, shard int, gaps binary, n binary").groupBy("shard").applyInPandas(lookup, "block bigint, shard int, counts binary")
     texts = rows.mapInArrow(keep, "block bigint, ids array<bigint>, sizes binary, words binary, at binary")
     parts = cut(texts.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(add, "doc_id bigint, n_words bigint, n_tri bigint, n_bi bigint, log_part double"))
-    total = F.broadcast(parts.agg(F.sum("n_words").alias("total")))  # one row
+    total = F.lit(float(parts.agg(F.sum("n_words")).first()[0] or 0))
     n_uni = F.col("n_words") - F.col("n_tri") - F.col("n_bi")
-    score = F.when(n_uni > 0, F.col("log_part") - n_uni * F.log(F.col("total").cast("double"))).otherwise(F.col("log_part"))
-    scored = parts.crossJoin(total).withColumn("n_uni", n_uni).withColumn("log_score", score)
+    score = F.when(n_uni > 0, F.col("log_part") - n_uni * F.log(total)).otherwise(F.col("log_part"))
+    scored = parts.withColumn("n_uni", n_uni).withColumn("log_score", score)
     return scored.select("doc_id", "n_words", "n_tri", "n_bi", "n_uni", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
