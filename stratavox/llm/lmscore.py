@@ -11,10 +11,11 @@ exploded n-grams of the blocks is a lookup of sorted keys. Each block gets its
 counts back and sums over its documents. What moves is one 8-byte key (sorted,
 as gaps) for a distinct n-gram of a block and one count back, not a row per
 occurrence, and an n-gram that is in every document is still one key a block, so
-no key is hot. Shards are as many as spark.sql.shuffle.partitions, or
-SHARDS_PER_SPLIT for every input split if that is more: splits are bounded by
-spark.sql.files.maxPartitionBytes, so a shard's keys stay within a task's memory
-however large the corpus is.
+no key is hot. Shards are as many as spark.sql.shuffle.partitions, or one for
+every SHARD_BYTES of the input's splits (bounded by
+spark.sql.files.maxPartitionBytes) if that is more, so a shard's keys stay within
+a task's memory however large the corpus is. Rows are blocks x shards, and never
+more than keys.
 
 The documents are scanned twice and must be cut alike: docs should be a table
 read from files, or written or checkpointed before (else an error is raised,
@@ -27,6 +28,7 @@ returned; ids may be null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from ._bytes import Block, blocks, mix, span_hashes, windows, words
 from ._common import cut
 
-ALPHA, MIN_COUNT, BLOCK_BYTES, SHARDS_PER_SPLIT = 0.4, 2, 9 << 19, 4
+ALPHA, MIN_COUNT, BLOCK_BYTES, SHARD_BYTES = 0.4, 2, 9 << 19, 16 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -52,6 +54,12 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
+def _size(setting: str) -> int:
+    """Bytes of a size setting such as 16m or 134217728b."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def keys_of(hashes: np.ndarray, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Keys of the 1-, 2- and 3-grams that end at each word, and which of them exist; one key per word each."""
     out = []
@@ -100,7 +108,9 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, words scored by trigram, bigram and unigram, log_score and mean_log_score of every document."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARDS_PER_SPLIT * rows.rdd.getNumPartitions())
+    conf = docs.sparkSession.conf
+    per_split = -(-_size(conf.get("spark.sql.files.maxPartitionBytes")) // SHARD_BYTES)
+    shards = max(int(conf.get("spark.sql.shuffle.partitions")), per_split * rows.rdd.getNumPartitions())
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b, _ in _text_blocks(batches):

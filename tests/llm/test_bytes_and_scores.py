@@ -103,3 +103,7 @@ def test_decontamination_by_broadcast_and_by_join(spark, most):
     cleaned = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(got).collect()}
     assert cleaned[1] == "one " and cleaned[5] is None and cleaned[7] == "short"
     assert not any(r["contamination"]["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0), max_broadcast=most).collect())
+
+
+def test_size_settings():
+    assert [lmscore._size(x) for x in ("16m", "134217728b", "1g", "5", "64KB")] == [16 << 20, 128 << 20, 1 << 30, 5, 64 << 10]
