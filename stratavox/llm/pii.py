@@ -174,14 +174,14 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosing(contexts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(e, t, strength) of the terms that disclose an entity, from contexts (e, t, c) and corpus counts (t, n)."""
+    """(e, t, strength) of the terms that disclose an entity, from contexts (e, t, c) and written corpus counts (t, n)."""
     pairs = cut(contexts.groupBy("e", "t").agg(F.count("*").alias("j"), F.min("c").alias("low"), F.max("c").alias("high")))
     places = pairs.groupBy("e").agg(F.sum("j").alias("s"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+    total = F.lit(int(counts.agg(F.sum("n")).first()[0] or 0)).cast("bigint")
     supported = pairs.where((F.col("j") >= MIN_SUPPORT) & (F.col("low") != F.col("high"))).select("e", "t", "j")
-    known = supported.join(counts, "t").join(places, "e").crossJoin(total)
-    strength = F.log2(F.col("j") * F.col("total") / (F.col("n") * F.col("s"))) / F.log2(F.col("total") / F.col("s"))
-    return known.where("total > s").withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("e", "t", "strength")
+    known = supported.join(counts, "t").join(places, "e")
+    strength = F.try_divide(F.log2(F.col("j") * total / (F.col("n") * F.col("s"))), F.log2(total / F.col("s")))
+    return known.where(F.col("s") < total).withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("e", "t", "strength")
 
 
 def term_spans(scanned: DataFrame, counts: DataFrame) -> DataFrame:
