@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from stratavox.operators import stacks as S
 from stratavox.plans.registry import query, table
 
+#: Places of a stack that instance_slices joins at once.
+PLACES = 64
+
 
 @query("classify_case", """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN 'unparsable' WHEN l_suppkey % 7 = 0 THEN 'deflated' WHEN l_partkey % 5 = 0 THEN 'float_pixels' WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'no_pixel_data' WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 'encapsulated' WHEN l_quantity > 45 THEN 'layout' END AS reason FROM lineitem""")
 def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +108,13 @@ def stack_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 z AS (SELECT DISTINCT series, signed, orientation, unnest(range(0, 12)) AS z FROM m)
 SELECT o.series, sop_uid, count(*)::BIGINT AS n_slices, sum(z)::BIGINT AS places FROM o JOIN z ON o.series = z.series AND o.signed = z.signed AND o.orientation IS NOT DISTINCT FROM z.orientation AND z.z BETWEEN first AND first + frames - 1 GROUP BY ALL""")
 def instance_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slices of every instance: an equi-join on the stack with a range of places."""
-    own = S.stack_order(members(spark, sf_dir).where("multiframe IS NULL"))
-    slices = members(spark, sf_dir).select("series", "signed", "orientation").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    a, b = own.alias("a"), slices.alias("b")
-    on = (F.col("a.series") == F.col("b.series")) & (F.col("a.signed") == F.col("b.signed")) & F.col("a.orientation").eqNullSafe(F.col("b.orientation")) & F.col("z").between(F.col("first_slice"), F.col("first_slice") + F.col("frames") - 1)
+    """The slices of every instance: an equi-join on the stack and a range of places, whatever the stack's depth."""
+    own = S.stack_order(members(spark, sf_dir).where("multiframe IS NULL")).withColumn("last_slice", F.col("first_slice") + F.col("frames") - 1)
+    depths = own.groupBy("series", "signed", "orientation").agg(F.max("last_slice").alias("deepest"))
+    ranges = depths.withColumn("range", F.explode(F.sequence(F.lit(0), F.expr(f"deepest div {PLACES}"))))
+    slices = ranges.withColumn("z", F.explode(F.sequence(F.col("range") * PLACES, F.least(F.col("range") * PLACES + PLACES - 1, F.col("deepest")))))
+    a, b = own.withColumn("range", F.explode(F.sequence(F.expr(f"first_slice div {PLACES}"), F.expr(f"last_slice div {PLACES}")))).alias("a"), slices.alias("b")
+    on = (F.col("a.series") == F.col("b.series")) & (F.col("a.signed") == F.col("b.signed")) & F.col("a.orientation").eqNullSafe(F.col("b.orientation")) & (F.col("a.range") == F.col("b.range")) & F.col("z").between(F.col("first_slice"), F.col("last_slice"))
     return a.join(b, on).groupBy("a.series", "sop_uid").agg(F.count("*").alias("n_slices"), F.sum("z").alias("places"))
 
 
