@@ -1,0 +1,162 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles (the pipeline's stage).
+
+Words are those of operator 5; a text is the set of 64-bit hashes of its runs of
+SHINGLE words. Texts link at a Jaccard similarity of 4/5 or more and documents
+are grouped by reachability.
+
+Candidates. All sets are sorted by one order; two sets of similarity 4/5 share
+an element among the first n - ceil(4 n / 5) + 1 of each (prefix filter), and sizes
+and places of a shared element bound the overlap, so no pair is missed. The
+order puts shingles behind that a sample finds common. What the sample holds
+changes the work only, never the result.
+
+Scale. Copies are first folded into distinct sets. Each element's sets are
+compared with its least set (a star), and the components of these links found;
+then only sets of different components that share an element are compared, so
+that a large group of near copies costs no pairs. Sets are made again for
+candidates only.
+
+Defined cases: null, empty and word-less texts are one group; fewer than SHINGLE
+words are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import simhash
+from ._bytes import blocks, mix, span_hashes, tokens, windows
+from ._common import cut
+
+SHINGLE = 5
+#: One text of SAMPLE is looked at for common shingles; those seen COMMON times, the MOST_COMMON commonest, come last in the order.
+SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
+
+
+def shingle_sets(texts: pa.Array, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, those of the sorted common ones behind, and their bounds by text."""
+    out, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in blocks(texts, lower=True):
+        starts, ends, docs = tokens(b)
+        hashes = span_hashes(b.buf, starts, ends)
+        first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
+        count = np.diff(np.r_[first, len(docs)])
+        keys, own = [], []
+        for n in range(1, SHINGLE + 1):
+            key, inside = windows(hashes, docs, n)
+            at = np.flatnonzero(inside) if n == SHINGLE else first[count == n]
+            keys.append(key[at])
+            own.append(docs[at])
+        key, doc = np.concatenate(keys), np.concatenate(own)
+        behind = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
+        order = np.lexsort((key, behind, doc))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        out.append(key[new])
+        sizes.append(np.bincount(doc[new], minlength=b.n))
+    return np.concatenate(out), np.r_[0, np.cumsum(np.concatenate(sizes))]
+
+
+def _lists(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def flush() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["k", "n"])
+
+        for batch in batches:
+            held.append(shingle_sets(batch.column(0), np.zeros(0, np.uint64))[0])
+            if sum(map(len, held)) > 4_000_000:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    text = F.col("text").cast("string")
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text.alias("text")).mapInArrow(count, "k bigint, n bigint")
+    top = some.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "k").limit(MOST_COMMON)
+    return np.sort(np.array([r[0] for r in top.select("k").collect()], np.int64).view(np.uint64))
+
+
+def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, th (a hash of the text), fp (of its set), n (its size) and prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def sign(texts: pa.Array) -> pa.Array:
+        keys, bounds = shingle_sets(texts, shared.value)
+        n = np.diff(bounds)
+        sums = np.r_[np.uint64(0), np.cumsum(mix(keys), dtype=np.uint64)]
+        fp = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
+        size = np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
+        take = np.arange(len(keys)) < np.repeat(bounds[:-1] + size, n)
+        prefix = _lists(keys[take], np.r_[0, np.cumsum(size)])
+        return pa.StructArray.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), prefix], names=["fp", "n", "prefix"])
+
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.arrow_udf(sign, "struct<fp:bigint,n:bigint,prefix:array<bigint>>")(text).alias("s")).select("doc_id", "th", "s.*")
+
+
+def _overlaps(left: pa.Array, right: pa.Array) -> pa.Array:
+    out = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(_each(left), _each(right), strict=True)]
+    return pa.array(out, pa.int64())
+
+
+def _each(lists: pa.Array) -> list[np.ndarray]:
+    flat, at = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+    return [flat[s - at[0] : e - at[0]] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _possible(a: str, b: str) -> F.Column:
+    """The sizes and the places of a shared element leave room for the overlap that 4/5 takes."""
+    c = lambda s, x: F.col(f"{s}.{x}")
+    most = F.least(c(a, "pos"), c(b, "pos")) + F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
+    return 9 * most >= 4 * (c(a, "n") + c(b, "n"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 4/5 or more."""
+    pairs = cut(pairs.distinct())
+    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "th"), "fp")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(need, "th").dropDuplicates(["fp"])
+    none = np.zeros(0, np.uint64)
+    sets = cut(texts.select("fp", F.arrow_udf(lambda t: _lists(*shingle_sets(t, none)), "array<bigint>")("text").alias("s")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.arrow_udf(_overlaps, "bigint")("x", "y")
+    return cut(both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("n")).where(9 * F.col("o") >= 4 * F.col("n")).select("a", "b"))
+
+
+def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, whose components are those of all links of the distinct sets."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    postings = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "k")).withColumn("pos", F.col("pos").cast("bigint"))
+    tally = postings.groupBy("k").agg(F.count("*").alias("m"), F.min(F.struct("fp", "n", "pos")).alias("least")).where("m > 1").drop("m")
+    sized = cut(postings.join(tally, "k").select("k", "least", F.struct("fp", "n", "pos").alias("own")))
+    star = sized.where((F.col("own.fp") != F.col("least.fp")) & _possible("own", "least"))
+    near = _similar(star.select(F.col("least.fp").alias("a"), F.col("own.fp").alias("b")), docs, nodes)
+
+    roots = cut(simhash.components(near))
+    placed = cut(sized.join(roots, F.col("own.fp") == F.col("node"), "left").select("k", "own", F.coalesce("root", "own.fp").alias("c")))
+    groups = placed.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.count("*").alias("n"), F.max_by("c", "m").alias("major")).where("n > 1").select("k", "major")
+    open_ = cut(placed.join(groups, "k"))  # every pair of components has one that isn't the major
+    a, b = open_.where("c <> major").select("k", F.col("own").alias("p"), F.col("c").alias("cp")), open_.select("k", F.col("own").alias("q"), F.col("c").alias("cq"))
+    rest = a.join(b, "k").where((F.col("cp") != F.col("cq")) & _possible("p", "q"))
+    far = _similar(rest.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")), docs, nodes)
+    return near.union(far)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """simhash.keep_one() for the groups of this module."""
+    prints = cut(signatures(docs, common_shingles(docs)))
+    return simhash.keep_one(docs, prints.select("doc_id", "fp", "th"), lambda _: links(docs, prints))

@@ -28,6 +28,8 @@ each returned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -183,10 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def assign(marked: DataFrame, fp: str, comp: str, id_col: str = "doc_id") -> DataFrame:
-    """marked with the struct column comp (root long, id): id is the smallest id of the component."""
+def assign(marked: DataFrame, fp: str, comp: str, id_col: str = "doc_id", edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """marked with the struct column comp (root long, id): id is the smallest id of the component under edges."""
     nodes = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least")))
-    roots = components(links(nodes.select("fp")))
+    roots = components(edges(nodes.select("fp")))
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("id"))
     of = linked.join(ids, "root").select(F.col("fp").alias("__fp"), F.struct("root", "id").alias(comp))
@@ -200,17 +202,19 @@ def query(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("comp.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, prints: DataFrame | None = None, edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest doc_id.
 
     Of rows that repeat a kept doc_id within a group, one stays; so it does in a
     group without any doc_id. Rows are found again by doc_id and a hash of their
-    text, so that texts are read twice but fingerprinted once.
+    text, so that texts are read twice but fingerprinted once. Other groups than
+    op5's: prints has doc_id, fp and th (the hash of the text), edges links the fps.
     """
     names = {n: fresh(docs, n) for n in ("kept_id", "kept_text", "kept_root", "kept_rows")}
     text = F.xxhash64(F.col("text").cast("string"))
-    prints = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), text.alias("th")))
-    first = assign(prints, "fp", "comp").where(F.col("doc_id").eqNullSafe(F.col("comp.id"))).groupBy(F.col("comp.root").alias("root"), "doc_id", "th").agg(F.count("*").alias("n"))
+    if prints is None:
+        prints = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), text.alias("th")))
+    first = assign(prints, "fp", "comp", edges=edges).where(F.col("doc_id").eqNullSafe(F.col("comp.id"))).groupBy(F.col("comp.root").alias("root"), "doc_id", "th").agg(F.count("*").alias("n"))
     first = first.groupBy("root", "doc_id").agg(F.min_by("th", "th").alias("th"), F.sum("n").alias("n"))
     kept = first.select(F.col("doc_id").alias(names["kept_id"]), F.col("th").alias(names["kept_text"]), F.col("root").alias(names["kept_root"]), F.col("n").alias(names["kept_rows"]))
     kept = cut(kept)
