@@ -10,13 +10,13 @@ context places of an entity and j(e, t) places of e taken by t,
 
 so that strength 1 means that the term occurs near the entity only. A term of
 strength GENERALISE or more, seen in MIN_SUPPORT places and in two differing
-contexts at least (a copied passage is one context), discloses the entity: its
-occurrences near that entity are generalised, or removed from REMOVE on.
+contexts at least (a copied passage is one context), discloses the entity: all
+its occurrences in all texts, as the entity is masked in all of them, are
+generalised, or removed from REMOVE on.
 
 Scale. Contexts grow with entity occurrences, not with pairs of anything; pair
-and term counts are pre-aggregated; term spans are found once per distinct text
-and joined back by a digest of the text. Spark picks broadcast or shuffle for
-the disclosing terms from their measured size.
+and term counts are pre-aggregated; term spans are joined back by a digest of
+the text. Disclosing terms are broadcast up to MOST_TERMS and joined beyond.
 
 Defined cases: a null text is empty and has no spans; patterns that the checks
 fail (an IP part over 255, a card without Luhn sum) are dropped; repeated rows
@@ -38,6 +38,8 @@ from ._bytes import Block, blocks, mix, span_hashes
 from ._common import cut, fresh
 
 CONTEXT, MIN_SUPPORT, GENERALISE, REMOVE = 8, 3, 0.90, 0.97
+#: Disclosing terms are broadcast up to so many (9 MB); beyond, they are joined with the terms of every text.
+MOST_TERMS = 1_000_000
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,8 +50,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = np.zeros(256, bool)
 _TERM[0x61:0x7B] = _TERM[0x80:] = True
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_CTX = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_SCAN = "struct<base:array<struct<kind:int,start:int,end:int>>,ctx:array<struct<e:bigint,t:bigint,c:bigint,start:int,end:int>>>"
+_TERM_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())])
+_CTX = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
+_SCAN = "struct<base:array<struct<kind:int,start:int,end:int>>,ctx:array<struct<e:bigint,t:bigint,c:bigint>>>"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -105,7 +108,7 @@ def _contexts(raw: bytes, text: str, spans: list, starts: np.ndarray, ends: np.n
     free = np.ones(len(starts), bool)
     for _, s, e, _ in spans:
         free[np.searchsorted(last, s, side="right") : np.searchsorted(first, e, side="left")] = False
-    first, last, keys = first[free], last[free], keys[free]
+    first, keys = first[free], keys[free]
     out = []
     for kind, s, _, value in spans:
         k = int(np.searchsorted(first, s))
@@ -115,7 +118,7 @@ def _contexts(raw: bytes, text: str, spans: list, starts: np.ndarray, ends: np.n
             continue
         c = int(mix(np.array([np.bitwise_xor.reduce(mix(near + np.arange(len(near), dtype=np.uint64)))])).view(np.int64)[0])
         e = _signed(f"{kind}:{value}")
-        out += [{"e": e, "t": t, "c": c, "start": i, "end": j} for t, i, j in zip(near.view(np.int64).tolist(), first[own].tolist(), last[own].tolist(), strict=True)]
+        out += [{"e": e, "t": t, "c": c} for t in near.view(np.int64).tolist()]
     return out
 
 
@@ -184,15 +187,65 @@ def disclosing(contexts: DataFrame, counts: DataFrame) -> DataFrame:
     return known.where(F.col("s") < total).withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("e", "t", "strength")
 
 
-def term_spans(scanned: DataFrame, counts: DataFrame) -> DataFrame:
-    """(th, terms array<struct<start,end,remove>>) for the texts that have disclosing terms.
+def mark_array(texts: pa.Array, keys: np.ndarray, remove: np.ndarray) -> pa.Array:
+    """Every place of the sorted terms in each text outside its base matches; code points."""
+    out: list = []
+    for b in blocks(texts, lower=True):
+        starts, ends, docs = terms(b)
+        hashes = span_hashes(b.buf, starts, ends)
+        at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+        hits = np.flatnonzero(keys[at] == hashes) if len(keys) else np.zeros(0, int)
+        bounds = np.searchsorted(docs[hits], np.arange(b.n + 1))
+        for d in range(b.n):
+            own = hits[bounds[d] : bounds[d + 1]]
+            if not len(own):
+                out.append([])
+                continue
+            raw = b.buf[b.offs[d] : b.offs[d + 1]]
+            point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+            first, last = point[starts[own] - b.offs[d]], point[ends[own] - b.offs[d]]
+            free = np.ones(len(own), bool)
+            for _, s, e, _ in base_spans(raw.tobytes().decode()):
+                free[np.searchsorted(last, s, side="right") : np.searchsorted(first, e, side="left")] = False
+            out.append([{"start": s, "end": e, "remove": r} for s, e, r in zip(first[free].tolist(), last[free].tolist(), remove[at[own]][free].tolist(), strict=True)])
+    return pa.array(out, pa.list_(_TERM_SPAN))
+
+
+def text_terms(texts: pa.Array) -> pa.Array:
+    """The distinct terms of each text."""
+    out = []
+    for b in blocks(texts, lower=True):
+        starts, ends, docs = terms(b)
+        keys, bounds = span_hashes(b.buf, starts, ends).view(np.int64), np.searchsorted(docs, np.arange(b.n + 1))
+        out += [np.unique(keys[bounds[d] : bounds[d + 1]]) for d in range(b.n)]
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def term_spans(texts: DataFrame, scanned: DataFrame, counts: DataFrame) -> DataFrame:
+    """(th, terms array<struct<start,end,remove>>) for the texts that hold disclosing terms anywhere.
 
-    scanned has th (a text's digest) and the arrays base and ctx, and holds only rows with entities.
+    texts has th (a text's digest) and text; scanned has th and the arrays base
+    and ctx, and holds only rows with entities.
     """
     bad = disclosing(scanned.select(F.explode("ctx").alias("x")).select("x.e", "x.t", "x.c"), counts)
-    once = scanned.dropDuplicates(["th"]).select("th", F.explode("ctx").alias("x")).select("th", "x.e", "x.t", "x.start", "x.end")
-    hits = once.join(bad, ["e", "t"]).groupBy("th", "start", "end").agg(F.max("strength").alias("strength"))
-    return hits.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("strength") >= REMOVE).alias("remove")))).alias("terms"))
+    bad = cut(bad.groupBy("t").agg((F.max("strength") >= REMOVE).alias("remove")))
+    marks = "array<struct<start:int,end:int,remove:boolean>>"
+    if bad.count() <= MOST_TERMS:
+        rows = bad.collect()
+        keys, remove = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], bool)
+        order = np.argsort(keys)
+        shared = texts.sparkSession.sparkContext.broadcast((keys[order], remove[order]))
+        found = texts.select("th", F.arrow_udf(lambda t: mark_array(t, *shared.value), marks)("text").alias("terms"))
+    else:
+        own = texts.select("th", F.explode(F.arrow_udf(text_terms, "array<bigint>")("text")).alias("t")).distinct().join(bad, "t")
+        lists = own.groupBy("th").agg(F.collect_list("t").alias("t"), F.collect_list("remove").alias("remove"))
+
+        def mark(t: pa.Array, keys: pa.Array, remove: pa.Array) -> pa.Array:
+            own, first = np.unique(np.asarray(keys.flatten()).view(np.uint64), return_index=True)  # a batch's terms disclose in all its texts
+            return mark_array(t, own, np.asarray(remove.flatten().to_numpy(zero_copy_only=False), bool)[first])
+
+        found = texts.join(lists, "th").select("th", F.arrow_udf(mark, marks)("text", "t", "remove").alias("terms"))
+    return found.where(F.size("terms") > 0).dropDuplicates(["th"])
 
 
 def _digest(text: Column) -> Column:
@@ -208,9 +261,8 @@ def query(docs: DataFrame) -> DataFrame:
     """op10: counts of base matches, their digest and all spans of every document."""
     found = cut(docs.select("doc_id", _digest(F.col("text")).alias("th"), scan(F.col("text")).alias("s")).select("doc_id", "th", "s.base", "s.ctx"))
     some = found.where(F.size("base") > 0)
-    spans = term_spans(some, cut(term_counts(docs)))
-    none = F.lit(None).cast("array<struct<start:int,end:int,remove:boolean>>")
-    rows = some.join(spans, "th", "left").select("doc_id", "base", "terms").unionByName(found.where(F.size("base") == 0).select("doc_id", "base", none.alias("terms")))
+    texts = docs.select(_digest(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    rows = found.join(cut(term_spans(texts, some, cut(term_counts(docs)))), "th", "left").select("doc_id", "base", "terms")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
     more = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>"))
     every = F.array_join(F.filter(F.array(_joined(F.col("base")), _joined(more, F.lit("term"))), lambda x: x != ""), ",")
@@ -233,13 +285,14 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     digest, terms_col = fresh(docs, "text_digest"), fresh(docs, "term_spans")
     text = F.col(text_col).cast("string")
     found = docs.select(_digest(text).alias("th"), scan(text).alias("s")).select("th", "s.base", "s.ctx").where(F.size("base") > 0)
-    spans = cut(term_spans(cut(found), cut(term_counts(docs, text_col))))
+    texts = docs.select(_digest(text).alias("th"), text.alias("text"))
+    spans = cut(term_spans(texts, cut(found), cut(term_counts(docs, text_col))))
 
     def clean(texts: pa.Array, extra: pa.Array) -> pa.Array:
         out = []
         for t, own in zip(texts.to_pylist(), extra.to_pylist(), strict=True):
             got = base_spans(t) if t and ("@" in t or "+" in t or re.search("[0-9]", t)) else []
-            out.append(clean_text(t, got, own or []) if got else t)
+            out.append(clean_text(t, got, own or []) if got or own else t)
         return pa.array(out, pa.string())
 
     joined = docs.withColumn(digest, _digest(text)).join(spans.select(F.col("th").alias(digest), F.col("terms").alias(terms_col)), digest, "left")
