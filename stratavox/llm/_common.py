@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to a Python worker: bounds a worker's memory
-#: when texts are long (500 rows of 100 kB are 50 MB).
-ARROW_ROWS = 500
+#: Rows and bytes in one Arrow batch handed to a Python worker: bound a worker's memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 #: A split of rows by crc32(doc_id as text): remainder 2 of 4 is held out.
 HELD_OUT = (4, 2)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets the rows of an Arrow batch for the session: every query and stage does so before it plans."""
+    """Sets the size of an Arrow batch for the session: every query and stage does so before it plans."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """The place of a public tokenizer's file on every machine; its folder is the setting stratavox.tokenizers."""
+    return f"{spark.conf.get('stratavox.tokenizers', '/opt/tokenizers')}/{name}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (driver and executors in one process)
+    gets a folder under its warehouse; on a cluster it is an error, as a folder of
+    one machine would lose the data.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            place = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(place)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
