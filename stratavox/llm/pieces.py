@@ -19,15 +19,19 @@ the leaf's value. The sibling with the largest maximum is opened next: its
 segment is drawn from what is left (excluded segmentations form a trie), the
 rest freely. So each further sample costs one pass over the text, and the next
 sibling's maximum is the threshold kappa that gives inclusion probabilities
-1 - exp(-exp(log p - kappa)).
+1 - exp(-exp(log p - kappa)). Those of long texts are too small for a number, so
+that their logarithms are returned beside them: weights are exp(-log_inclusion)
+relative to one another.
 
 Randomness is a hash of row key, sample, segment and step: a row's samples do
 not depend on partitions, batches or retries.
 
 Defined cases: a null or empty text has one segmentation, without pieces, of
 log-probability 0 and inclusion 1; texts with fewer segmentations than asked
-for give all of them; masses under 1e-12 count as none; a null row key is key 0;
-rows of one key and text have the same samples.
+for give all of them (whether others exist is told by the lattice, not by their
+mass); a null row key is key 0; rows of one key and text have the same samples; a
+very long text is one block, of about 300 bytes a character; an empty table gives
+no rows; columns are passed by value, so extra ones can't clash.
 """
 
 from __future__ import annotations
@@ -38,12 +42,13 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import Block, blocks, mix, run_hashes
+from ._common import tokenizer_path
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "piece_bpe_32k.model"
 SAMPLES, RANK_SHIFT, SEED = 3, 2.0, 42
 #: Characters of the segments that a worker remembers before it starts anew: about 20 MB of lattice.
 KNOWN_CHARS = 200_000
@@ -51,9 +56,10 @@ _SPACE, _ESCAPED = 0x2581, 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of a generator whose upper bits are used: one multiplication a step.
 _STEP = np.uint64(6364136223846793005)
-_EPS = 1e-12
+#: What a draw leaves of a segment with other segmentations, if that is below a double's resolution.
+_LEAST = 2.0**-56
 _ALL = (1 << 64) - 1
-_TYPE = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double>>"
+_TYPE = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double,log_inclusion:double>>"
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -335,36 +341,52 @@ def draw(lat: Lattice, kind: np.ndarray, key: np.ndarray) -> Draw:
 
 @dataclass
 class Trie:
-    """Excluded segmentations of a segment: the mass below each child that is excluded."""
+    """Excluded segmentations of a segment: the place of a node, and the share of its mass that they leave."""
 
+    place: int
     children: dict[int, Trie] = field(default_factory=dict)
-    mass: float = 0.0
+    left: float = 0.0
+
+
+def _weights(lat: Lattice, node: Trie) -> list[float]:
+    """The mass that each edge at a node has left."""
+    first = int(lat.first[node.place])
+    w = [exp(x) for x in lat.log_cond[first : int(lat.first[node.place + 1])].tolist()]
+    for slot, child in node.children.items():
+        w[slot] *= child.left
+    return w
+
+
+def excluding(lat: Lattice, kind: int, paths: list[tuple[int, ...]]) -> Trie:
+    """The trie of paths (tuples of slots). What is left is added up from the ends, never subtracted: it is 0 only if no other path exists."""
+    root = Trie(int(lat.start[kind]))
+    levels = [[root]]
+    for path in paths:
+        node = root
+        for depth, slot in enumerate(path, 1):
+            if slot not in node.children:
+                node.children[slot] = Trie(node.place + int(lat.size[int(lat.first[node.place]) + slot]))
+                if depth == len(levels):
+                    levels.append([])
+                levels[depth].append(node.children[slot])
+            node = node.children[slot]
+    for nodes in reversed(levels):
+        for node in nodes:
+            if node.children:
+                node.left = sum(_weights(lat, node))
+    return root
 
 
 def draw_other(lat: Lattice, kind: int, excluded: list[tuple[int, ...]], key: int) -> tuple[list[int], list[int], list[int], float]:
-    """Edges, places, slots and log-probability of a draw that is none of `excluded` (tuples of slots)."""
-    root = Trie()
-    for path in excluded:
-        node, p, logs = root, int(lat.start[kind]), []
-        nodes = [root]
-        for slot in path:
-            node = node.children.setdefault(slot, Trie())
-            nodes.append(node)
-            e = int(lat.first[p]) + slot
-            logs.append(float(lat.log_cond[e]))
-            p += int(lat.size[e])
-        for i, x in enumerate(nodes):
-            x.mass += float(np.exp(sum(logs[i:])))
-    node, p, stop, step = root, int(lat.start[kind]), int(lat.end[kind]), 0
+    """Edges, places, slots and log-probability of a draw that is none of `excluded` (tuples of slots); there must be one."""
+    node, p, stop, step = excluding(lat, kind, excluded), int(lat.start[kind]), int(lat.end[kind]), 0
     edges, places, slots, log_prob = [], [], [], 0.0
     while p < stop:
         e = int(lat.first[p])
         logs = lat.log_cond[e : int(lat.first[p + 1])].tolist()
-        w = [exp(x) for x in logs]
-        for slot, child in node.children.items() if node else ():
-            w[slot] = w[slot] * max(0.0, 1 - child.mass) if child.mass < 1 - _EPS else 0.0
+        w = _weights(lat, node) if node else [exp(x) for x in logs]
         left, slot = _uniform_int(key + step * 0x51ED2701 + 7) * sum(w), 0
-        last = max(i for i, x in enumerate(w) if x > 0)
+        last = max(range(len(w)), key=lambda i: (w[i] > 0, i))  # noqa: B023
         while slot < last and (left >= w[slot] or not w[slot]):
             left -= w[slot]
             slot += 1
@@ -414,11 +436,13 @@ def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
-    """For each document the samples (ids, log-probability, perturbed value, inclusion), the largest value first."""
+    """For each document the samples (ids, log-probability, perturbed value, log of inclusion), the largest value first."""
     chars, start, end, docs = cut_segments(v, b)
     bounds = np.searchsorted(docs, np.arange(b.n + 1))
     hashes = run_hashes(mix(chars.astype(np.uint64) + np.uint64(1)), start, end)
     lat, kind = v.known.kinds_of(v, hashes, chars, start, end)
+    # every character is an edge, so a segment with as many edges as characters has one segmentation
+    several = lat.first[lat.end[kind]] - lat.first[lat.start[kind]] > lat.end[kind] - lat.start[kind]
     n, doc_key = len(kind), mix(row_key + np.uint64(SEED))
     place = np.arange(n) - bounds[docs]
     order = lambda r, what: mix(doc_key[docs] + np.uint64((r * 8 + what) * 0x632BE5AB)) + place.astype(np.uint64) * _BASE
@@ -428,11 +452,11 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
         before = np.cumsum(d.log_prob) - d.log_prob
         head = np.r_[before, 0.0][np.minimum(bounds[:-1], n)]
         before = before - head[docs]
-        left = -np.expm1(d.log_prob)
+        left = np.where(several, np.maximum(-np.expm1(d.log_prob), _LEAST), 0.0)
         for i, x in spent.items():
-            left[i] = 1 - x
+            left[i] = x
         with np.errstate(divide="ignore"):
-            loc = before + np.log(np.where(left > _EPS, left, 0))
+            loc = before + np.log(left)
         value = _truncated(loc, top[docs], _uniform(order(r, 3)))
         value[place < since[docs]] = -np.inf
         return value
@@ -440,8 +464,8 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
     top = -np.log(-np.log(_uniform(doc_key + np.uint64(11))))
     draws, values = [draw(lat, kind, order(0, 0))], [top]
     groups = [siblings(draws[0], 0, top, np.zeros(b.n, np.int64), {})]
-    # by sample: what is taken at an instance, if more than its own, and the mass of that
-    excluded: list[dict[int, tuple[list[tuple[int, ...]], float]]] = [{}]
+    # by sample: what is taken at an instance, if more than its own
+    excluded: list[dict[int, list[tuple[int, ...]]]] = [{}]
     per_doc = np.full((samples + 1, b.n), -np.inf)
     at_doc = np.zeros((samples + 1, b.n), np.int64)
 
@@ -465,10 +489,9 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
             s, i = int(which[d]), int(at_doc[which[d], d])
             since[d] = place[i]
             source = draws[s]
-            paths, mass = excluded[s].get(i, ([], 0.0))
-            paths, mass = [*paths, tuple(source.slot[source.bounds[i] : source.bounds[i + 1]].tolist())], mass + exp(source.log_prob[i])
+            paths = [*excluded[s].get(i, []), tuple(source.slot[source.bounds[i] : source.bounds[i + 1]].tolist())]
             got = draw_other(lat, int(kind[i]), paths, int(doc_key[d]) + r * 0x7F4A7C15 + int(place[i]) * 0x2545F491)
-            own[i], taken[i], spent[i] = got, (paths, mass), mass + exp(got[3])
+            own[i], taken[i], spent[i] = got, paths, excluding(lat, int(kind[i]), [*paths, tuple(got[2])]).left
             groups[s][i] = -np.inf
         for s in range(r):
             best(s)
@@ -486,11 +509,17 @@ def sample_block(v: Vocabulary, b: Block, row_key: np.ndarray, samples: int) ->
         for r in range(len(draws)):
             if np.isfinite(values[r][d]):
                 lp = float(logs[r][d])
-                inclusion = 1.0 if not np.isfinite(kappa[d]) else float(-np.expm1(-np.exp(min(lp - kappa[d], 50.0))))
-                rows.append((outs[r][d], lp, float(values[r][d]) + 0.0, inclusion))
+                rows.append((outs[r][d], lp, float(values[r][d]) + 0.0, log_inclusion(lp - float(kappa[d]))))
         yield rows
 
 
+def log_inclusion(x: float) -> float:
+    """log(1 - exp(-exp(x))), which is x where exp(x) is small: inclusion itself may be too small for a number."""
+    if x < -30:
+        return x
+    return float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
+
+
 def _ids(v: Vocabulary, lat: Lattice, d: Draw, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """Piece ids of each document; byte edges become the ids of their bytes."""
     spelled = np.flatnonzero(d.edge == -2)
@@ -533,17 +562,21 @@ def sample_array(texts: pa.Array, keys: pa.Array, samples: int, model: str) -> p
                 inclusion.append(q)
     flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), flat)
-    struct = pa.StructArray.from_arrays([lists, pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64())], names=["ids", "log_prob", "gumbel", "inclusion"])
+    struct = pa.StructArray.from_arrays([lists, pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(np.exp(inclusion), pa.float64()), pa.array(inclusion, pa.float64())], names=["ids", "log_prob", "gumbel", "inclusion", "log_inclusion"])
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), struct)
 
 
-def sample(text: Column, key: Column, samples: int = SAMPLES, model: str = MODEL) -> Column:
+def model_path(spark: SparkSession) -> str:
+    return tokenizer_path(spark, MODEL)
+
+
+def sample(text: Column, key: Column, model: str, samples: int = SAMPLES) -> Column:
     """Distinct segmentations of each text, by falling perturbed value; key is the row's (any type)."""
     row = F.coalesce(F.xxhash64(key.cast("string")), F.lit(0))
     return F.arrow_udf(lambda t, k: sample_array(t, k, samples, model), _TYPE)(text.cast("string"), row)
 
 
-def encode(text: Column, model: str = MODEL) -> Column:
+def encode(text: Column, model: str) -> Column:
     """The model's own segmentation; null stays null."""
 
     def run(texts: pa.Array) -> pa.Array:
@@ -557,7 +590,7 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(v.raw.__getitem__, ids)).decode()
 
 
-def decode(ids: Column, model: str = MODEL) -> Column:
+def decode(ids: Column, model: str) -> Column:
     """The text of sampled ids; null stays null."""
 
     def run(lists: pa.Array) -> pa.Array:
@@ -565,3 +598,14 @@ def decode(ids: Column, model: str = MODEL) -> Column:
         return pa.array([None if x is None else decode_ids(v, x) for x in lists.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
+
+
+def n_decoded(text: Column, drawn: Column, model: str) -> Column:
+    """How many of the samples decode to the text (null is empty)."""
+
+    def run(texts: pa.Array, drawn: pa.Array) -> pa.Array:
+        v = vocabulary(model)
+        own = [(t or "").encode() for t in texts.to_pylist()]
+        return pa.array([sum(b"".join(map(v.raw.__getitem__, ids)) == t for ids in lists) for t, lists in zip(own, drawn.to_pylist(), strict=True)], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(text.cast("string"), F.transform(drawn, lambda x: x["ids"]))

@@ -50,15 +50,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    drawn = docs.select("doc_id", pieces.sample(F.col("text"), F.col("doc_id")).alias("s"))
+    model = pieces.model_path(spark)
+    drawn = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.sample(F.col("text"), F.col("doc_id"), model).alias("s"))
     of = lambda name, f: F.transform("s", f).alias(name)
-    return drawn.select("doc_id", F.size("s").cast("bigint").alias("n_samples"), of("n_pieces", lambda x: F.size(x["ids"])), of("digest", lambda x: F.xxhash64(x["ids"])), of("log_prob", lambda x: x["log_prob"]), of("inclusion", lambda x: x["inclusion"]))
+    checked = drawn.withColumn("n_decoded", pieces.n_decoded(F.col("text"), F.col("s"), model))
+    return checked.select("doc_id", F.size("s").cast("bigint").alias("n_samples"), "n_decoded", of("n_pieces", lambda x: F.size(x["ids"])), of("digest", lambda x: F.xxhash64(x["ids"])), of("log_prob", lambda x: x["log_prob"]), of("log_inclusion", lambda x: x["log_inclusion"]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality.assess(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return quality.query(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
