@@ -1,31 +1,39 @@
 r"""Personal data and information-theoretic sanitisation (operator 10).
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers; each distinct value is a protected entity. Terms (runs of letters)
-within CONTEXT words of an entity may disclose it although they are no personal
-data themselves. With N terms in the corpus, c(t) occurrences of a term, s(e)
-context places of an entity and j(e, t) places of e taken by t,
-
-    PMI(e; t) = log2(j N / (c s)),  strength = PMI(e; t) / log2(N / s)
-
-so that strength 1 means that the term occurs near the entity only. A term of
-strength GENERALISE or more, seen in MIN_SUPPORT places and in two differing
-contexts at least (a copied passage is one context), discloses the entity: all
-its occurrences in all texts, as the entity is masked in all of them, are
-generalised, or removed from REMOVE on.
+numbers; each distinct value is a protected entity, and so is its group (mail
+domain, first three parts of an address, first digits of a number), so that values
+that occur once have evidence too. Terms (runs of letters) within CONTEXT words of
+an entity may disclose it although they are no personal data themselves. Of n(t)
+occurrences of a term in the corpus of N, j(e, t) lie near e, in m(e, t) differing
+contexts (a copied passage is one context, however often it was copied); with s(e)
+context places of e
+
+    PMI(e; t) = log2(q N / s),  bits left = log2(N / s) - PMI(e; t) = -log2 q
+
+where q is the lower bound (Wilson, z = Z) of the share j / n as m of m n / j trials
+show it, so that a term needs the more support the less exclusive it is, and one
+context never suffices. Neither do m contexts that chance explains: m log2(N / s) bits
+must exceed log2 of the number of terms, which were all tried, by CHANCE. A term that leaves GENERALISE bits or less (q of a half or
+more), and tells one bit at least, discloses the entity: all its occurrences in all
+texts, as the entity is masked in all of them, are generalised, or removed if it
+leaves REMOVE bits or less. The bits left are reported.
 
 Scale. Contexts grow with entity occurrences, not with pairs of anything; pair
-and term counts are pre-aggregated; term spans are joined back by a digest of
-the text. Disclosing terms are broadcast up to MOST_TERMS and joined beyond.
+and term counts are pre-aggregated. Disclosing terms are broadcast up to MOST_TERMS
+and marked as texts are read; beyond, they are joined with the terms of every text.
 
 Defined cases: a null text is empty and has no spans; patterns that the checks
-fail (an IP part over 255, a card without Luhn sum) are dropped; repeated rows
-are each returned; null ids and extra columns are left alone.
+fail (an IP part over 255, a card without Luhn sum) are dropped; repeated rows and
+ties are each returned and counted; a very long text is one block of a few numbers
+a word; an empty table gives no rows; null ids and extra columns, clashing names
+too, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +45,7 @@ from pyspark.sql import functions as F
 from ._bytes import Block, blocks, mix, span_hashes
 from ._common import cut, fresh
 
-CONTEXT, MIN_SUPPORT, GENERALISE, REMOVE = 8, 3, 0.90, 0.97
+CONTEXT, Z, CHANCE, GENERALISE, REMOVE = 8, 1.28, 7.0, 1.0, 0.25
 #: Disclosing terms are broadcast up to so many (9 MB); beyond, they are joined with the terms of every text.
 MOST_TERMS = 1_000_000
 KINDS = ("email", "ip", "card", "phone")
@@ -50,7 +58,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = np.zeros(256, bool)
 _TERM[0x61:0x7B] = _TERM[0x80:] = True
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_TERM_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())])
+_TERM_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())])
+_MARKS = "array<struct<start:int,end:int,bits:double>>"
 _CTX = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 _SCAN = "struct<base:array<struct<kind:int,start:int,end:int>>,ctx:array<struct<e:bigint,t:bigint,c:bigint>>>"
 
@@ -100,6 +109,11 @@ def terms(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b.spans(_TERM[b.buf])
 
 
+def group_of(kind: int, value: str) -> str:
+    """What values of one holder have in common: the domain, the first three parts of an address, the first digits."""
+    return (value.rpartition("@")[2], value.rpartition(".")[0], value[:6], value[:6])[kind]
+
+
 def _contexts(raw: bytes, text: str, spans: list, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> list[dict]:
     """What stands near each entity; starts and ends are byte places of the document's terms."""
     ascii_only = len(raw) == len(text)
@@ -117,8 +131,8 @@ def _contexts(raw: bytes, text: str, spans: list, starts: np.ndarray, ends: np.n
         if not len(near):
             continue
         c = int(mix(np.array([np.bitwise_xor.reduce(mix(near + np.arange(len(near), dtype=np.uint64)))])).view(np.int64)[0])
-        e = _signed(f"{kind}:{value}")
-        out += [{"e": e, "t": t, "c": c} for t in near.view(np.int64).tolist()]
+        for e in (_signed(f"{kind}:{value}"), _signed(f"{kind}/{group_of(kind, value)}")):
+            out += [{"e": e, "t": t, "c": c} for t in near.view(np.int64).tolist()]
     return out
 
 
@@ -126,7 +140,7 @@ def scan_array(texts: pa.Array) -> pa.Array:
     base, ctx = [], []
     for b in blocks(texts, lower=True):
         hot = np.isin(b.buf, np.frombuffer(b"@0123456789", np.uint8))  # no base pattern does without
-        likely = np.diff(np.r_[0, np.cumsum(hot)][b.offs]) > 0
+        likely = b.sums(hot) > 0
         found: dict[int, tuple] = {}
         for d in np.flatnonzero(likely).tolist():
             raw = b.buf[b.offs[d] : b.offs[d + 1]].tobytes()
@@ -177,17 +191,20 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosing(contexts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(e, t, strength) of the terms that disclose an entity, from contexts (e, t, c) and written corpus counts (t, n)."""
-    pairs = cut(contexts.groupBy("e", "t").agg(F.count("*").alias("j"), F.min("c").alias("low"), F.max("c").alias("high")))
+    """(e, t, bits) of the terms that disclose an entity, from contexts (e, t, c) and written corpus counts (t, n)."""
+    pairs = cut(contexts.groupBy("e", "t", "c").agg(F.count("*").alias("j")).groupBy("e", "t").agg(F.sum("j").alias("j"), F.count("*").alias("m")))
     places = pairs.groupBy("e").agg(F.sum("j").alias("s"))
-    total = F.lit(int(counts.agg(F.sum("n")).first()[0] or 0)).cast("bigint")
-    supported = pairs.where((F.col("j") >= MIN_SUPPORT) & (F.col("low") != F.col("high"))).select("e", "t", "j")
-    known = supported.join(counts, "t").join(places, "e")
-    strength = F.try_divide(F.log2(F.col("j") * total / (F.col("n") * F.col("s"))), F.log2(total / F.col("s")))
-    return known.where(F.col("s") < total).withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("e", "t", "strength")
+    size = counts.agg(F.sum("n"), F.count("*")).first()
+    total = F.lit(float(size[0] or 0))
+    known = pairs.where("m > 1").join(counts, "t").join(places, "e").where(F.col("m") * F.log2(total / F.col("s")) >= CHANCE + math.log2(max(size[1], 1)))
+    share = F.least(F.lit(1.0), F.col("j") / F.col("n"))
+    trials = F.col("m") / share
+    q = (share + Z * Z / (2 * trials) - Z * F.sqrt(share * (1 - share) / trials + Z * Z / (4 * trials * trials))) / (1 + Z * Z / trials)
+    told = known.select("e", "t", F.col("s"), q.alias("q")).where(F.col("q") * total >= 2 * F.col("s"))
+    return told.select("e", "t", (-F.log2("q")).alias("bits")).where(F.col("bits") <= GENERALISE)
 
 
-def mark_array(texts: pa.Array, keys: np.ndarray, remove: np.ndarray) -> pa.Array:
+def mark_array(texts: pa.Array, keys: np.ndarray, bits: np.ndarray) -> pa.Array:
     """Every place of the sorted terms in each text outside its base matches; code points."""
     out: list = []
     for b in blocks(texts, lower=True):
@@ -207,7 +224,7 @@ def mark_array(texts: pa.Array, keys: np.ndarray, remove: np.ndarray) -> pa.Arra
             free = np.ones(len(own), bool)
             for _, s, e, _ in base_spans(raw.tobytes().decode()):
                 free[np.searchsorted(last, s, side="right") : np.searchsorted(first, e, side="left")] = False
-            out.append([{"start": s, "end": e, "remove": r} for s, e, r in zip(first[free].tolist(), last[free].tolist(), remove[at[own]][free].tolist(), strict=True)])
+            out.append([{"start": s, "end": e, "bits": x} for s, e, x in zip(first[free].tolist(), last[free].tolist(), bits[at[own]][free].tolist(), strict=True)])
     return pa.array(out, pa.list_(_TERM_SPAN))
 
 
@@ -221,31 +238,30 @@ def text_terms(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def term_spans(texts: DataFrame, scanned: DataFrame, counts: DataFrame) -> DataFrame:
-    """(th, terms array<struct<start,end,remove>>) for the texts that hold disclosing terms anywhere.
-
-    texts has th (a text's digest) and text; scanned has th and the arrays base
-    and ctx, and holds only rows with entities.
-    """
-    bad = disclosing(scanned.select(F.explode("ctx").alias("x")).select("x.e", "x.t", "x.c"), counts)
-    bad = cut(bad.groupBy("t").agg((F.max("strength") >= REMOVE).alias("remove")))
-    marks = "array<struct<start:int,end:int,remove:boolean>>"
+def mark_terms(docs: DataFrame, text_col: str, out: str) -> DataFrame:
+    """docs with the column out: the spans of disclosing terms in each text, and the bits that each leaves."""
+    text = F.col(text_col).cast("string")
+    contexts = cut(docs.select(F.explode(scan(text)["ctx"]).alias("x")).select("x.e", "x.t", "x.c"))
+    bad = disclosing(contexts, cut(term_counts(docs, text_col)))
+    bad = cut(bad.groupBy("t").agg(F.min("bits").alias("bits")))
     if bad.count() <= MOST_TERMS:
         rows = bad.collect()
-        keys, remove = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], bool)
+        keys, bits = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], float)
         order = np.argsort(keys)
-        shared = texts.sparkSession.sparkContext.broadcast((keys[order], remove[order]))
-        found = texts.select("th", F.arrow_udf(lambda t: mark_array(t, *shared.value), marks)("text").alias("terms"))
-    else:
-        own = texts.select("th", F.explode(F.arrow_udf(text_terms, "array<bigint>")("text")).alias("t")).distinct().join(bad, "t")
-        lists = own.groupBy("th").agg(F.collect_list("t").alias("t"), F.collect_list("remove").alias("remove"))
+        shared = docs.sparkSession.sparkContext.broadcast((keys[order], bits[order]))
+        return docs.withColumn(out, F.arrow_udf(lambda t: mark_array(t, *shared.value), _MARKS)(text))
+    texts = docs.select(_digest(text).alias("th"), text.alias("text")).dropDuplicates(["th"])
+    own = texts.select("th", F.explode(F.arrow_udf(text_terms, "array<bigint>")("text")).alias("t")).join(bad, "t")
+    lists = own.groupBy("th").agg(F.collect_list(F.struct("t", "bits")).alias("l"))  # a text's terms
 
-        def mark(t: pa.Array, keys: pa.Array, remove: pa.Array) -> pa.Array:
-            own, first = np.unique(np.asarray(keys.flatten()).view(np.uint64), return_index=True)  # a batch's terms disclose in all its texts
-            return mark_array(t, own, np.asarray(remove.flatten().to_numpy(zero_copy_only=False), bool)[first])
+    def mark(t: pa.Array, keys: pa.Array, bits: pa.Array) -> pa.Array:
+        own, first = np.unique(np.asarray(keys.flatten()).view(np.uint64), return_index=True)  # a batch's terms disclose in all its texts
+        return mark_array(t, own, np.asarray(bits.flatten(), float)[first])
 
-        found = texts.join(lists, "th").select("th", F.arrow_udf(mark, marks)("text", "t", "remove").alias("terms"))
-    return found.where(F.size("terms") > 0).dropDuplicates(["th"])
+    found = cut(texts.join(lists, "th").select("th", F.arrow_udf(mark, _MARKS)("text", F.col("l.t"), F.col("l.bits")).alias(out)))
+    digest = fresh(docs, "text_digest")
+    joined = docs.withColumn(digest, _digest(text)).join(found.withColumnRenamed("th", digest), digest, "left")
+    return joined.select(*docs.columns, F.coalesce(out, F.array().cast(_MARKS)).alias(out))
 
 
 def _digest(text: Column) -> Column:
@@ -258,20 +274,16 @@ def _joined(spans: Column, names: Column | None = None) -> Column:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """op10: counts of base matches, their digest and all spans of every document."""
-    found = cut(docs.select("doc_id", _digest(F.col("text")).alias("th"), scan(F.col("text")).alias("s")).select("doc_id", "th", "s.base", "s.ctx"))
-    some = found.where(F.size("base") > 0)
-    texts = docs.select(_digest(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
-    rows = found.join(cut(term_spans(texts, some, cut(term_counts(docs)))), "th", "left").select("doc_id", "base", "terms")
+    """op10: counts of base matches, their digest, all spans and the bits that the terms among them leave, of every document."""
+    rows = mark_terms(docs.select("doc_id", "text"), "text", "terms").select("doc_id", scan(F.col("text"))["base"].alias("base"), "terms")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
-    more = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>"))
-    every = F.array_join(F.filter(F.array(_joined(F.col("base")), _joined(more, F.lit("term"))), lambda x: x != ""), ",")
-    return rows.select("doc_id", *map(count, range(4)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), every.alias("spans"), F.size(more).cast("bigint").alias("n_terms"), F.size(F.filter(more, lambda x: x["remove"])).cast("bigint").alias("n_removed"))
+    every = F.array_join(F.filter(F.array(_joined(F.col("base")), _joined(F.col("terms"), F.lit("term"))), lambda x: x != ""), ",")
+    return rows.select("doc_id", *map(count, range(4)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), every.alias("spans"), F.size("terms").cast("bigint").alias("n_terms"), F.transform("terms", lambda x: F.round(x["bits"], 4)).alias("term_bits"))
 
 
 def clean_text(text: str, spans: list[tuple[int, int, int, str]], extra: list[dict]) -> str:
     """text with base matches and generalised terms replaced by their kind and removed terms left out."""
-    cuts = sorted([(s, e, f"[{KINDS[k].upper()}]") for k, s, e, _ in spans] + [(x["start"], x["end"], "" if x["remove"] else "[TERM]") for x in extra])
+    cuts = sorted([(s, e, f"[{KINDS[k].upper()}]") for k, s, e, _ in spans] + [(x["start"], x["end"], "" if x["bits"] <= REMOVE else "[TERM]") for x in extra])
     out, at = [], 0
     for s, e, label in cuts:
         if s >= at:
@@ -282,11 +294,8 @@ def clean_text(text: str, spans: list[tuple[int, int, int, str]], extra: list[di
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with sanitised texts; same rows and columns."""
-    digest, terms_col = fresh(docs, "text_digest"), fresh(docs, "term_spans")
+    terms_col = fresh(docs, "term_spans")
     text = F.col(text_col).cast("string")
-    found = docs.select(_digest(text).alias("th"), scan(text).alias("s")).select("th", "s.base", "s.ctx").where(F.size("base") > 0)
-    texts = docs.select(_digest(text).alias("th"), text.alias("text"))
-    spans = cut(term_spans(texts, cut(found), cut(term_counts(docs, text_col))))
 
     def clean(texts: pa.Array, extra: pa.Array) -> pa.Array:
         out = []
@@ -295,5 +304,5 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out.append(clean_text(t, got, own or []) if got or own else t)
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn(digest, _digest(text)).join(spans.select(F.col("th").alias(digest), F.col("terms").alias(terms_col)), digest, "left")
-    return joined.withColumn(text_col, F.arrow_udf(clean, "string")(text, F.col(terms_col))).select(*docs.columns)
+    marked = mark_terms(docs, text_col, terms_col)
+    return marked.withColumn(text_col, F.arrow_udf(clean, "string")(text, F.col(terms_col))).select(*docs.columns)
