@@ -15,6 +15,7 @@ from stratavox.llm import queries as Q
 from stratavox.llm._common import held_out, trainable
 
 DATA = "/root/testdata/sf0.01"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def test_fold(spark):
@@ -40,10 +41,61 @@ def test_language_held_out_accuracy_and_odd_texts(spark):
     assert {r[0]["lang_pred"] for r in odd.select(langid.predict(odd, none, F.col("text"))).collect()} == {"und"}
 
 
-def test_grams_stay_in_their_document():
-    (b,) = langid.blocks(pa.array(["abc", "", "de"]), lower=True)
-    sizes = [np.diff(bounds).tolist() for _, bounds in langid.grams(b)]
-    assert sizes == [[3, 0, 2], [2, 0, 1], [1, 0, 0], [0, 0, 0]]
+@pytest.mark.parametrize("step", [1 << 18, 2])
+def test_grams_stay_in_their_document(monkeypatch, step):
+    monkeypatch.setattr(langid, "STEP", step)
+    (b,) = langid.blocks(pa.array(["aéc", "", "de"]), lower=True)
+    many = Counter()
+    for bucket, docs, head in langid.grams(*langid.code_points(b)):
+        for d, n in zip(docs.tolist(), np.diff(np.r_[head, len(bucket)]).tolist(), strict=True):
+            many[d] += n
+    assert many == {0: 3 + 2 + 1, 2: 2 + 1}
+
+
+def bucket_of(gram):
+    (b,) = langid.blocks(pa.array([gram]), lower=True)
+    return [x for x, _, _ in langid.grams(*langid.code_points(b))][-1].tolist()[-1]
+
+
+def test_language_model_against_plain_counts(spark):
+    rng = random.Random(3)
+    letters = {"el": "αβγδεζηθ", "ru": "абвгдежз", "zh": "中文字符语言", "en": "abcdefgh", "xx": "abcdefgh"}
+    rows = [(i, "".join(rng.choice(letters[lang] + " ") for _ in range(rng.randrange(1, 60))), lang) for i, lang in enumerate(sorted(letters) * 8)]
+    rows += [(i + 1000, t, "xx" if lang == "en" else "en") for i, t, lang in rows if lang in ("en", "xx")]  # what one has the other has
+    rows = [(4 * k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, lang, "x") for i, t, lang in rows] + [(None, "zz", "en", "x"), (7, None, "en", "x"), (8, "q", None, "x")], "doc_id long, text string, lang string, score string")
+    teach = {r[0] for r in df.where(trainable(F.col("doc_id"))).select("doc_id").collect()}
+    grams = lambda t: [t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+    counts, docs = {}, Counter()
+    for i, t, lang in rows:
+        if i in teach:
+            docs[lang] += 1
+            counts.setdefault(lang, Counter()).update(map(bucket_of, grams(t)))
+    texts = [t for _, t, _ in rows] + ["ΑΒΓ abc 中文", "a", "字", "абв中"]
+    got = langid.fit(df).score(pa.array(texts)).to_pylist()
+    names = sorted(counts)
+    for t, r in zip(texts, got, strict=True):
+        own = [bucket_of(g) for g in grams("".join(c.lower() if c < "\x80" else c for c in t))]
+        logs = [np.log(docs[x] / sum(docs.values())) + sum(np.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for g in own) for x in names]
+        post = np.exp(np.array(logs) - np.logaddexp.reduce(logs))
+        if not any(c.isalpha() for c in t):
+            assert r == {"lang_pred": "und", "score": 0.0}
+            continue
+        assert r["score"] == pytest.approx(post.max(), abs=1e-4) and post[names.index(r["lang_pred"])] == pytest.approx(post.max(), abs=1e-4)
+
+
+def test_many_languages_share_the_matrix_and_ties_go_to_the_first(monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 4)
+    counts = [(f"l{k:02}", 0, [1] * 4096) for k in range(16)]
+    model = langid.Model(counts, {f"l{k:02}": 1 for k in range(16)})
+    assert model.buckets * 16 <= 4 * langid.BUCKETS and model.score(pa.array(["ab"])).to_pylist()[0]["lang_pred"] == "l00"
+
+
+def test_rare_languages_are_learned(spark):
+    rows = spark.range(3000).select((4 * F.col("id")).alias("doc_id"), F.lit("aa").alias("text"), F.when(F.col("id") < 3, "rare").otherwise("much").alias("lang"))
+    sample, many = langid.training_sample(rows, 50)
+    got = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    assert got["rare"] == {r[0]: r[1] for r in many.collect()}["rare"] and 20 < got["much"] < 90
 
 
 def test_toxicity_held_out(spark):
@@ -54,19 +106,56 @@ def test_toxicity_held_out(spark):
     assert pairs > 0.93 and p.min() >= 0 and p.max() <= 1
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(0)
-    vocab = [(int(k), float(x)) for k, x in zip(rng.integers(-(1 << 62), 1 << 62, 40), rng.random(40) + 0.5, strict=True)]
-    bag = lambda: [(vocab[k][0], int(rng.integers(1, 4))) for k in rng.choice(40, rng.integers(0, 6), replace=False)]
-    rows = [(i, int(rng.random() < 0.3), bag()) for i in range(700)]
-    index = toxicity.Index(vocab, rows, {0: 1.0, 1: 1.0})
-    for _ in range(60):
-        q = bag()
-        at, x = index.vector(np.array([t for t, _ in q], np.int64).view(np.uint64), np.array([n for _, n in q], np.int64))
-        place, cosine = index.nearest(at, x)
-        every = index.w[: len(index.ids), at] @ x
-        every = np.sort(every[every > 0])[::-1][: toxicity.K]
-        assert len(cosine) == len(every) and np.allclose(np.sort(cosine)[::-1], every, atol=1e-6)
+def test_toxicity_against_plain_cosines(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    label = {}
+    for r in spark.read.parquet(f"{DATA}/labels.parquet").collect():
+        label[r["doc_id"]] = max(r["toxic"], label.get(r["doc_id"], 0))
+    teach = {r[0] for r in docs.where(trainable(F.col("doc_id"))).select("doc_id").collect()}
+    bag = lambda t: Counter(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c < "\x80" else c for c in t)))
+    bags = {i: bag(t) for i, t in rows}
+    own = sorted(i for i in bags if i in label and i in teach)
+    n, pos = len(own), sum(label[i] for i in own)
+    df, toxic = Counter(), Counter()
+    for i in own:
+        df.update(bags[i].keys())
+        toxic.update({t: label[i] for t in bags[i]})
+
+    def weight(t):
+        m, a = df[t], toxic[t]
+        chi2 = n * (a * (n - pos - (m - a)) - (m - a) * (pos - a)) ** 2 / (m * (n - m) * pos * (n - pos)) if 0 < m < n else 0.0
+        return chi2 * (np.log((1 + n) / (1 + m)) + 1)
+
+    def vector(bag):
+        x = {t: (1 + np.log(k)) * weight(t) for t, k in bag.items() if weight(t) > 0}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        return {t: v / size for t, v in x.items()}
+
+    vectors = {i: v for i in own if (v := vector(bags[i]))}
+    base = pos / n
+    index = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    asked = rows[:300] + [(-1, ""), (-2, "12 !"), (-3, rows[0][1] + " " + rows[1][1])]
+    got = index.score(pa.array([t for _, t in asked])).to_pylist()
+    for (i, t), r in zip(asked, got, strict=True):
+        q = vector(bags.get(i) or bag(t))
+        cosines = sorted(((round(c, 6), j) for j, v in vectors.items() if (c := sum(x * v.get(t, 0.0) for t, x in q.items())) > 5e-7), key=lambda x: (-x[0], x[1]))[: toxicity.K]
+        if not cosines:
+            assert r["evidence"] == []
+            continue
+        w = [c**toxicity.POWER for c, _ in cosines]
+        vote = (sum(x * label[j] for x, (_, j) in zip(w, cosines, strict=True)) + toxicity.SHRINK * base) / (sum(w) + toxicity.SHRINK)
+        assert r["score"] == pytest.approx(index.probability(vote), abs=2e-3)
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([c for c, _ in cosines[: toxicity.EVIDENCE]], abs=3e-6)
+
+
+def test_ties_go_to_the_lowest_ids():
+    n = 100
+    ids, label = np.arange(n)[::-1].copy(), np.arange(n) % 2
+    terms = np.array([[5, 7] if x else [5, 9] for x in label], np.uint64).ravel()
+    index = toxicity.Index(ids, label, np.arange(n + 1) * 2, terms, np.ones(2 * n, int), {0: 1.0, 1: 1.0})
+    ((place, cosine),) = index.nearest([(np.array([7], np.uint64), np.array([3]))])
+    assert index.ids[place].tolist() == sorted(i for i, x in zip(ids.tolist(), label, strict=True) if x)[: toxicity.K] and set(cosine.tolist()) == {1.0}
 
 
 def test_toxicity_without_labels(spark):
@@ -88,25 +177,98 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), failed
 
 
-def brute_fertility(t):
-    sp = pieces.vocabulary(quality.VOCABULARY).sp
-    ids = [i for w in re.findall("[^\x20\x09-\x0d]+", t or "") for i in sp.encode(w)]
-    if not ids:
-        return None, None, None
-    chars = sum(map(len, re.findall("[^\x20\x09-\x0d]+", t)))
-    return chars / len(ids), sum(sp.is_byte(i) for i in ids) / len(ids), quality.entropy_of(list(Counter(ids).values()))
+def word_tokens(path, word, memo={}):  # noqa: B006
+    if path not in memo:
+        memo[path] = quality.Encoder(path)
+    return memo[path].encode([word])[0], memo[path].is_byte
+
+
+def brute_fertility(t, path):
+    ids, byte = [], 0
+    for w in re.findall("[^\x20\x09-\x0d]+", t or ""):
+        for i in range(0, len(w), quality.LONG_WORD):
+            got, is_byte = word_tokens(path, w[i : i + quality.LONG_WORD])
+            ids += got
+            byte += sum(is_byte[k] for k in got)
+    chars = sum(map(len, re.findall("[^\x20\x09-\x0d]+", t or "")))
+    return (chars / len(ids), byte / len(ids), quality.entropy_of(list(Counter(ids).values())), len(ids)) if ids else None
+
 
+PATHS = tuple(f"/opt/tokenizers/{v}" for v in quality.VOCABULARIES)
 
-def test_quality(spark):
+
+def test_quality_figures(spark):
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(150).collect()]
-    got = quality.assess_array(pa.array(texts), quality.VOCABULARY).to_pylist()
+    got = quality.figures_array(pa.array(texts), PATHS).to_pylist()
     for t, r in zip(texts, got, strict=True):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t), t
-        for have, want in zip((r["chars_per_token"], r["byte_share"], r["token_entropy"]), brute_fertility(t), strict=True):
-            assert have is want is None or have == pytest.approx(want, abs=1e-9)
-        assert not (r["kept"] and r["base_failed"])
-    df = spark.createDataFrame([("a", 1)], "text string, kept int").limit(0)
-    assert df.select(quality.assess(F.col("text"))).count() == 0
+        for v, path in enumerate(PATHS):
+            want = brute_fertility(t, path)
+            assert (want is None) == (r["chars_per_token"] is None)
+            if want:
+                assert (r["chars_per_token"][v], r["byte_share"][v], r["token_entropy"][v]) == pytest.approx(want[:3], abs=1e-9)
+    df = spark.createDataFrame([(1, "a", "en", 1)], "doc_id long, text string, lang string, kept int").limit(0)
+    assert quality.query(df).count() == 0 and quality.keep_good(df).count() == 0
+
+
+def plain_verdicts(rows):
+    """kept of (text, lang) rows, by lists of values in plain Python."""
+    scripts = [r["script"] for r in quality.figures_array(pa.array([t for t, _ in rows], pa.string()), PATHS).to_pylist()]
+    facts = [(lang, script, [brute_fertility(t, p) for p in PATHS], brute_quality(t)[-1]) for (t, lang), script in zip(rows, scripts, strict=True)]
+    size = lambda f: int(np.floor(quality.CLASSES * np.log2(f[2][0][3])))
+    good = [f for f in facts if not f[3]]
+    big = {x for x, n in Counter(f[0] for f in good).items() if x is not None and n >= quality.MIN_ROWS}
+    out = []
+    for f in facts:
+        if f[3]:
+            out.append(False)
+            continue
+        ok = True
+        for figure in range(3):
+            for v in range(len(PATHS)):
+                value, band = f[2][v][figure], quality.LIMITS[figure]
+                for group in [[g for g in good if g[0] == f[0] and f[0] in big], [g for g in good if g[1] == f[1]]]:
+                    reach, own = 0, []
+                    if len(group) < quality.MIN_ROWS:
+                        continue
+                    span = [size(g) for g in group]
+                    if not min(span) <= size(f) <= max(span):
+                        continue
+                    while len(own) < quality.MIN_ROWS:
+                        own = sorted(int(np.floor(g[2][v][figure] * quality.BINS[figure])) for g in group if abs(size(g) - size(f)) <= reach)
+                        reach += 1
+                    q1, q2, q3 = ((own[int(np.ceil(len(own) * q)) - 1] + 0.5) / quality.BINS[figure] for q in (0.25, 0.5, 0.75))
+                    wide = max(quality.FENCE * max(q2 - q1, q3 - q2) / 0.6745, quality.SLACK[figure])
+                    low, high = q2 - wide, q2 + wide
+                    if figure == 2:
+                        wide = max(quality.FENCE * (q3 - q2) / 0.6745, quality.SLACK[2])
+                        low, high = q2 - wide, q2 + 2 * wide
+                    band = max(band[0], low), min(band[1], high)
+                    break
+                ok &= band[0] <= value <= band[1]
+        out.append(ok)
+    return out
+
+
+def test_quality_verdict(spark, monkeypatch):
+    """Texts that only fertility, byte share or entropy tell are rejected, the others kept; all as plain Python has it."""
+    monkeypatch.setattr(quality, "MIN_ROWS", 60)
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality = 1").orderBy("doc_id").collect()
+    clean = [(r["text"], r["lang"] if k % 7 else None) for k, r in enumerate(docs) if len(r["text"]) < 6000 and not brute_quality(r["text"])[-1]][:220]
+    few = ["the", "of", "and", "to", "in", "is", "that"]
+    junk = [(" ".join(rng.choice(few) if rng.random() < 0.8 else f"{rng.choice(few)}{rng.choice(few)}" for _ in range(400)), "en") for _ in range(12)]
+    junk += [(" ".join("".join(rng.choice("0123456789abcdefXYZ#=/") for _ in range(40)) for _ in range(120)), "en") for _ in range(12)]
+    junk += [(" ".join("".join(chr(rng.randrange(0x13000, 0x13400)) for _ in range(rng.randrange(2, 9))) + rng.choice(["ab", "cd", "ef"]) for _ in range(150)), "en") for _ in range(12)]
+    junk = [x for x in junk if not brute_quality(x[0])[-1]]
+    odd = [(None, "en"), ("", None), ("word " * 80, "en"), ("12 34 " * 40, None)]
+    rows = clean + junk + odd
+    df = spark.createDataFrame([(i, t, lang, "clash") for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, chars_per_token string")
+    got = {r["doc_id"]: r["kept"] for r in quality.query(df).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_verdicts(rows)
+    assert len(junk) > 25 and np.mean([got[i] for i in range(len(clean))]) >= 0.95 and np.mean([got[len(clean) + i] for i in range(len(junk))]) <= 0.1
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
 def brute_spans(t):
@@ -177,9 +339,9 @@ def segmentations(v, text):
 
 @pytest.mark.parametrize("text", [" then", "the cat"])
 def test_samples_follow_the_lattice(text):
-    v = pieces.vocabulary(pieces.MODEL)
+    v = pieces.vocabulary(MODEL)
     p, n = segmentations(v, text), 8000
-    got = pieces.sample_array(pa.array([text] * n), pa.array(range(n)), 3, pieces.MODEL).to_pylist()
+    got = pieces.sample_array(pa.array([text] * n), pa.array(range(n)), 3, MODEL).to_pylist()
     first = Counter(tuple(r[0]["ids"]) for r in got)
     second = Counter(tuple(r[1]["ids"]) for r in got)
     p2 = {k: sum(p[f] * p[k] / (1 - p[f]) for f in p if f != k) for k in p}
@@ -192,15 +354,46 @@ def test_samples_follow_the_lattice(text):
 def test_samples_round_trip(spark):
     texts = ["", None, "a", "▁ é\U0001F600\n\n  x", "Hello  world, hello ", "x" * 3000, "日本語テキスト", "\0\x7f﻿"]
     df = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, s int")
-    out = df.select("doc_id", "text", pieces.sample(F.col("text"), F.col("doc_id"), 4).alias("p"))
+    out = df.select("doc_id", "text", pieces.sample(F.col("text"), F.col("doc_id"), MODEL, 4).alias("p"))
     full = out.select("doc_id", "text", "p", F.transform("p", lambda x: x["log_prob"]).alias("lp"))
-    v = pieces.vocabulary(pieces.MODEL)
+    v = pieces.vocabulary(MODEL)
     rows = full.collect()
     for r in rows:
         assert r["p"] and all(pieces.decode_ids(v, s["ids"]) == (r["text"] or "") for s in r["p"])
         assert len({tuple(s["ids"]) for s in r["p"]}) == len(r["p"])
-        assert all(a["gumbel"] >= b["gumbel"] for a, b in zip(r["p"], r["p"][1:], strict=False)) and all(0 < s["inclusion"] <= 1 for s in r["p"] if len(r["text"] or "") < 50)
+        assert all(a["gumbel"] >= b["gumbel"] for a, b in zip(r["p"], r["p"][1:], strict=False)) and all(np.isfinite(s["log_inclusion"]) and s["log_inclusion"] <= 0 and s["inclusion"] == pytest.approx(np.exp(s["log_inclusion"])) for s in r["p"])
+    checked = out.select(pieces.n_decoded(F.col("text"), F.col("p"), MODEL).alias("n"), F.size("p").alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in checked)
     again = out.repartition(5).collect()
     assert {r["doc_id"]: r["p"] for r in again} == {r["doc_id"]: r["p"] for r in rows}
-    back = df.select("text", pieces.decode(pieces.encode(F.col("text"))).alias("b")).collect()
+    back = df.select("text", pieces.decode(pieces.encode(F.col("text"), MODEL), MODEL).alias("b")).collect()
     assert all(r["b"] is None if r["text"] is None else r["b"].strip(" ") == r["text"].strip(" ") for r in back if r["text"] is None or "▁" not in r["text"])
+
+
+def test_all_segmentations_are_drawn_however_small():
+    """As many samples as there are segmentations give all of them, and no more."""
+    v = pieces.vocabulary(MODEL)
+    for text in (" th", "\u4e2d", " qz", "a"):
+        p = segmentations(v, text)
+        got = pieces.sample_array(pa.array([text] * 20), pa.array(range(20)), len(p) + 2, MODEL).to_pylist()
+        assert all({tuple(s["ids"]) for s in r} == set(p) and len(r) == len(p) for r in got)
+
+
+def test_what_excluded_paths_leave_is_not_subtracted():
+    v = pieces.vocabulary(MODEL)
+    (b,) = pieces.blocks(pa.array([" then"]), lower=False)
+    chars, start, end, docs = pieces.cut_segments(v, b)
+    lat, kind = v.known.kinds_of(v, pieces.run_hashes(pieces.mix(chars.astype(np.uint64) + np.uint64(1)), start, end), chars, start, end)
+    paths = []
+
+    def walk(p, path):
+        if p == int(lat.end[kind[0]]):
+            paths.append(tuple(path))
+            return
+        for e in range(int(lat.first[p]), int(lat.first[p + 1])):
+            walk(p + int(lat.size[e]), [*path, e - int(lat.first[p])])
+
+    walk(int(lat.start[kind[0]]), [])
+    for k in range(1, len(paths)):
+        assert pieces.excluding(lat, int(kind[0]), paths[:k]).left > 0
+    assert pieces.excluding(lat, int(kind[0]), paths).left == 0
