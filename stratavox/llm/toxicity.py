@@ -124,26 +124,42 @@ class Index:
 
         use = x > 0
         term, place, value = at[use], rank[own[use]], (x[use] / norm[own[use]]).astype(np.float32)
-        frequent = np.bincount(term, minlength=len(self.keys)) * DENSE >= max(1, len(kept))
+        order = np.lexsort((place, term))
+        self.size = np.bincount(term, minlength=len(self.keys)).astype(np.int32)
+        self.place, self.value = place[order].astype(np.int32), value[order]
+        self._prepare()
+
+        every, empty = (np.bincount(c, minlength=2) * weight for c in (toxic, toxic[~full]))
+        self.base = float(every[1] / every.sum()) if every.sum() else 0.0
+        self.empty = float((empty[1] + self.base) / (empty.sum() + 1)) if n else 0.0
+        self.grid = self.share = np.zeros(0)
+
+    def __getstate__(self) -> dict:
+        """The posting lists alone, not what _prepare() makes of them: what is broadcast is about 8 bytes a posting."""
+        return {k: v for k, v in self.__dict__.items() if k not in self._made}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._prepare()
+
+    _made = ("row", "dense", "rare_place", "rare_value", "run", "run_size", "run_block", "run_max", "runs")
+
+    def _prepare(self) -> None:
+        """The matrix of frequent terms, and the runs of the other lists."""
+        term = np.repeat(np.arange(len(self.keys)), self.size)
+        frequent = self.size * DENSE >= max(1, len(self.ids))
         self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)  # in the matrix, by term
         self.dense = np.zeros((int(frequent.sum()), self.n_blocks * BLOCK), np.float32)
         often = frequent[term]
-        self.dense[self.row[term[often]], place[often]] = value[often]
-        term, place, value = term[~often], place[~often], value[~often]
-        order = np.lexsort((place, term))
-        term, self.place, self.value = term[order], place[order].astype(np.int32), value[order]
-        block = self.place // BLOCK
+        self.dense[self.row[term[often]], self.place[often]] = self.value[often]
+        term, self.rare_place, self.rare_value = term[~often], self.place[~often], self.value[~often]
+        block = self.rare_place // BLOCK
         self.run = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         self.run_size = np.diff(np.r_[self.run, len(term)])
         self.run_block = block[self.run]
-        self.run_max = np.maximum.reduceat(self.value, self.run) if len(self.run) else self.value
+        self.run_max = np.maximum.reduceat(self.rare_value, self.run) if len(self.run) else self.rare_value
         self.runs = np.searchsorted(term[self.run], np.arange(len(self.keys) + 1))
 
-        every, empty = (np.bincount(c, minlength=2) * weight for c in (toxic, toxic[~full]))
-        self.base = float(every[1] / every.sum()) if every.sum() else 0.0
-        self.empty = float((empty[1] + self.base) / (empty.sum() + 1)) if n else 0.0
-        self.grid = self.share = np.zeros(0)
-
     @staticmethod
     def _weights(at: np.ndarray, label: np.ndarray, n: int, pos: int) -> np.ndarray:
         """idf times chi-squared of each term over n examples, pos of them toxic; all 0 when one class is missing."""
@@ -193,8 +209,8 @@ class Index:
             own = np.flatnonzero(slot[block] >= 0)
             size = self.run_size[run[own]]
             post = _ranges(self.run[run[own]], size)
-            to = np.repeat(slot[block[own]], size) + self.place[post] % BLOCK
-            cosine = part[chosen].ravel() + np.bincount(to, np.repeat(weight[own], size) * self.value[post], len(chosen) * BLOCK)
+            to = np.repeat(slot[block[own]], size) + self.rare_place[post] % BLOCK
+            cosine = part[chosen].ravel() + np.bincount(to, np.repeat(weight[own], size) * self.rare_value[post], len(chosen) * BLOCK)
             place = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             keep = cosine > 0
             place, cosine = place[keep], cosine[keep]
@@ -282,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     index = build(bags, share)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     votes = bags.select("toxic", F.arrow_udf(lambda i, b: shared.value.own_votes(i, b), "double")(F.col("doc_id").cast("bigint"), "bag").alias("v")).where("v IS NOT NULL").toPandas()
+    shared.destroy()
     if len(votes):
         toxic = votes["toxic"].to_numpy()
         index.calibrate(votes["v"].to_numpy(), toxic, np.array([1 / share[c] for c in toxic.tolist()]))
