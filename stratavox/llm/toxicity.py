@@ -127,7 +127,6 @@ class Index:
         order = np.lexsort((place, term))
         self.size = np.bincount(term, minlength=len(self.keys)).astype(np.int32)
         self.place, self.value = place[order].astype(np.int32), value[order]
-        self._prepare()
 
         every, empty = (np.bincount(c, minlength=2) * weight for c in (toxic, toxic[~full]))
         self.base = float(every[1] / every.sum()) if every.sum() else 0.0
@@ -138,14 +137,10 @@ class Index:
         """The posting lists alone, not what _prepare() makes of them: what is broadcast is about 8 bytes a posting."""
         return {k: v for k, v in self.__dict__.items() if k not in self._made}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._prepare()
-
     _made = ("row", "dense", "rare_place", "rare_value", "run", "run_size", "run_block", "run_max", "runs")
 
     def _prepare(self) -> None:
-        """The matrix of frequent terms, and the runs of the other lists."""
+        """The matrix of frequent terms, and the runs of the other lists: made where a search begins."""
         term = np.repeat(np.arange(len(self.keys)), self.size)
         frequent = self.size * DENSE >= max(1, len(self.ids))
         self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)  # in the matrix, by term
@@ -184,6 +179,8 @@ class Index:
 
         skip: an id by bag that is left out.
         """
+        if "runs" not in self.__dict__:
+            self._prepare()
         for lo in range(0, len(bags), BATCH):
             queries = [self.vector(*bag) for bag in bags[lo : lo + BATCH]]
             common = np.zeros((len(queries), len(self.dense)), np.float32)
