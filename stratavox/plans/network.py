@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from stratavox.operators import network as N
 from stratavox.plans.registry import query, table
 
-WIDE, MID, OUT = 32, 48, 6
+WIDE, MID, OUT = 64, 48, 6
 LAYERS = [N.formula_layer(WIDE, MID, True), N.formula_layer(MID, MID, True), N.formula_layer(MID, OUT, False)]
 
 
 def _inputs(c: str = "embedding") -> Column:
-    """The first 32 components of a vector as int8."""
-    return F.transform(F.slice(c, 1, WIDE), lambda e: F.greatest(F.lit(-128), F.least(F.lit(127), F.floor(e.cast("double") * 256).cast("int"))))
+    """The components of a vector as int8."""
+    return F.transform(c, lambda e: F.greatest(F.lit(-128), F.least(F.lit(127), F.floor(e.cast("double") * 256).cast("int"))))
 
 
-_IN = f"i AS (SELECT vec_id, list_transform(embedding[1:{WIDE}], lambda e: greatest(-128, least(127, floor(e::DOUBLE * 256)::INT))) AS x0 FROM embeddings)"
+_IN = f"i AS (SELECT vec_id, list_transform(embedding, lambda e: greatest(-128, least(127, floor(e::DOUBLE * 256)::INT))) AS x0 FROM embeddings)"
 
 
 def _layer_sql(source: str, x: str, inputs: int, outputs: int, hidden: bool) -> str:
@@ -42,7 +42,7 @@ def dense_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlp_forward", f"WITH {_IN}, l1 AS ({_layer_sql('i', 'x0', WIDE, MID, True)}), l2 AS ({_layer_sql('l1', 'y', MID, MID, True)}), l3 AS ({_layer_sql('l2', 'y', MID, OUT, False)}) SELECT vec_id, y FROM l3")
 def mlp_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 32-48-48-6 network over all vectors, in Arrow batches."""
+    """A 64-48-48-6 network over all vectors, in Arrow batches."""
     return table(spark, sf_dir, "embeddings").select("vec_id", N.forward_column(_inputs(), LAYERS).alias("y"))
 
 

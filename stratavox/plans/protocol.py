@@ -74,9 +74,9 @@ def amz_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.amz_date(stamp).alias("seconds"), T.amz_date(odd).alias("leap"))
 
 
-@query("uri_codec", "SELECT doc_id, md5(url_encode(left(text, 200))) AS encoded, true AS same FROM documents")
+@query("uri_codec", "SELECT doc_id, md5(url_encode(text)) AS encoded, true AS same FROM documents")
 def uri_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(200)).alias("t"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     coded = own.withColumn("e", T.uri_encode(F.col("t")))
     return coded.select("doc_id", F.md5("e").alias("encoded"), (T.uri_decode(F.col("e")) == F.col("t")).alias("same"))
 

@@ -105,7 +105,8 @@ def stack_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("instance_slices", f"""WITH {_MEMBERS}, o AS (SELECT *, sum(frames) OVER (PARTITION BY {_KEY} ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) - frames AS first FROM m WHERE multiframe IS NULL),
-z AS (SELECT DISTINCT series, signed, orientation, unnest(range(0, 12)) AS z FROM m)
+d AS (SELECT series, signed, orientation, max(first + frames)::BIGINT AS depth FROM o GROUP BY ALL),
+z AS (SELECT series, signed, orientation, unnest(range(0, depth)) AS z FROM d)
 SELECT o.series, sop_uid, count(*)::BIGINT AS n_slices, sum(z)::BIGINT AS places FROM o JOIN z ON o.series = z.series AND o.signed = z.signed AND o.orientation IS NOT DISTINCT FROM z.orientation AND z.z BETWEEN first AND first + frames - 1 GROUP BY ALL""")
 def instance_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slices of every instance: an equi-join on the stack and a range of places, whatever the stack's depth."""
