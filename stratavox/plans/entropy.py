@@ -23,23 +23,23 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s
 
 
-@query("residual_plan", f"WITH {UNTRAINED} SELECT z, token_ctx::BIGINT AS token_ctx, sign_ctx::BIGINT AS sign_ctx, count(*)::BIGINT AS n, sum(predicted)::BIGINT AS predicted, sum(k)::BIGINT AS k FROM q GROUP BY ALL")
+@query("residual_plan", f"WITH {UNTRAINED} SELECT volume_id, z, token_ctx::BIGINT AS token_ctx, sign_ctx::BIGINT AS sign_ctx, count(*)::BIGINT AS n, sum(predicted)::BIGINT AS predicted, sum(k)::BIGINT AS k FROM q GROUP BY ALL")
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(spark, sf_dir).groupBy("z", "token_ctx", "sign_ctx").agg(F.count("*").alias("n"), F.sum("predicted").alias("predicted"), F.sum("k").alias("k"))
+    return planned(spark, sf_dir).groupBy("volume_id", "z", "token_ctx", "sign_ctx").agg(F.count("*").alias("n"), F.sum("predicted").alias("predicted"), F.sum("k").alias("k"))
 
 
-@query("tokens", f"WITH {UNTRAINED} SELECT z, y, sum(token * (x + 1))::BIGINT AS token, sum(low * (x + 1))::BIGINT AS low, count(*) FILTER (negative)::BIGINT AS n_negative, count(*) FILTER (token = 15)::BIGINT AS n_escapes FROM tok GROUP BY z, y")
+@query("tokens", f"WITH {UNTRAINED} SELECT volume_id, z, y, sum(token * (x + 1))::BIGINT AS token, sum(low * (x + 1))::BIGINT AS low, count(*) FILTER (negative)::BIGINT AS n_negative, count(*) FILTER (token = 15)::BIGINT AS n_escapes FROM tok GROUP BY volume_id, z, y")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("x") + 1
-    return planned(spark, sf_dir).groupBy("z", "y").agg(F.sum(F.col("token") * place).alias("token"), F.sum(F.col("low") * place).alias("low"), F.count_if("negative").alias("n_negative"), F.count_if(F.col("token") == 15).alias("n_escapes"))
+    return planned(spark, sf_dir).groupBy("volume_id", "z", "y").agg(F.sum(F.col("token") * place).alias("token"), F.sum(F.col("low") * place).alias("low"), F.count_if("negative").alias("n_negative"), F.count_if(F.col("token") == 15).alias("n_escapes"))
 
 
-@query("detokenize", f"WITH {UNTRAINED} SELECT z, y, sum(m * (x + 1))::BIGINT AS value, count(*)::BIGINT AS n, 0::BIGINT AS n_wrong FROM tok GROUP BY z, y")
+@query("detokenize", f"WITH {UNTRAINED} SELECT volume_id, z, y, sum(m * (x + 1))::BIGINT AS value, count(*)::BIGINT AS n, 0::BIGINT AS n_wrong FROM tok GROUP BY volume_id, z, y")
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values restored from their tokens."""
     s = planned(spark, sf_dir)
     back = detokenise(F.col("predicted"), F.col("k"), {n: F.col(n) for n in ("token", "escape_bits", "extra", "low", "negative")})
-    return s.withColumn("back", back).groupBy("z", "y").agg(F.sum(F.col("back") * (F.col("x") + 1)).alias("value"), F.count("*").alias("n"), F.count_if(F.col("back") != F.col("m")).alias("n_wrong"))
+    return s.withColumn("back", back).groupBy("volume_id", "z", "y").agg(F.sum(F.col("back") * (F.col("x") + 1)).alias("value"), F.count("*").alias("n"), F.count_if(F.col("back") != F.col("m")).alias("n_wrong"))
 
 
 _HIST = f"WITH {UNTRAINED}, g AS (SELECT c AS token_ctx, t AS token FROM range({CONTEXTS}) a(c), range({TOKENS}) b(t)), h AS (SELECT token_ctx, token, count(*) AS n FROM tok GROUP BY ALL), hist AS (SELECT token_ctx, token, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (token_ctx, token))"
@@ -86,7 +86,7 @@ def sign_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("code_length", f"""WITH {UNTRAINED}, s AS (SELECT *, pow(2::DOUBLE, ls8 / 8.0::DOUBLE) / 4 AS b, abs(m - mu16 / 16.0::DOUBLE) AS dist FROM q)
-SELECT z, round(avg(least(40, -log2(greatest(1e-12, 1 / (1 + exp(-least((dist + 0.5) / greatest(b, 0.05), 40))) - 1 / (1 + exp(-least((dist - 0.5) / greatest(b, 0.05), 40))))))), 6) AS bits FROM s GROUP BY z""")
+SELECT volume_id, z, round(avg(least(40, -log2(greatest(1e-12, 1 / (1 + exp(-least((dist + 0.5) / greatest(b, 0.05), 40))) - 1 / (1 + exp(-least((dist - 0.5) / greatest(b, 0.05), 40))))))), 6) AS bits FROM s GROUP BY volume_id, z""")
 def code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean code length under a discretised logistic around the prediction."""
     s = planned(spark, sf_dir)
@@ -94,4 +94,4 @@ def code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     dist = F.abs(F.col("m") - F.col("mu16") / 16)
     logistic = lambda t: 1 / (1 + F.exp(-F.least(t, F.lit(40.0))))
     p = logistic((dist + 0.5) / b) - logistic((dist - 0.5) / b)
-    return s.groupBy("z").agg(F.round(F.avg(F.least(F.lit(40.0), -F.log2(F.greatest(F.lit(1e-12), p)))), 6).alias("bits"))
+    return s.groupBy("volume_id", "z").agg(F.round(F.avg(F.least(F.lit(40.0), -F.log2(F.greatest(F.lit(1e-12), p)))), 6).alias("bits"))

@@ -53,11 +53,11 @@ def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("volume_id").agg(F.count("*").alias("n_tiles"), (F.max("slab") + 1).alias("slabs"), (F.max("stripe") + 1).alias("stripes"), F.sum(F.col("depth").cast("bigint") * F.col("height") * F.col("width")).alias("n_samples"), F.min("lo").alias("lo"))
 
 
-@query("trace", f"WITH {UNTRAINED} SELECT z, sum(mu16 * (x + 1))::BIGINT AS mu16, sum(ls8 * (y + 1))::BIGINT AS log_scale8, count(*)::BIGINT AS n FROM pred GROUP BY z")
+@query("trace", f"WITH {UNTRAINED} SELECT volume_id, z, sum(mu16 * (x + 1))::BIGINT AS mu16, sum(ls8 * (y + 1))::BIGINT AS log_scale8, count(*)::BIGINT AS n FROM pred GROUP BY volume_id, z")
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of all samples that no flat flag codes."""
     s = untrained(spark, sf_dir).where(~(F.col("flat") & (F.col("v") == F.col("w"))))
-    return s.groupBy("z").agg(F.sum(F.col("mu16") * (F.col("x") + 1)).alias("mu16"), F.sum(F.col("log_scale8") * (F.col("y") + 1)).alias("log_scale8"), F.count("*").alias("n"))
+    return s.groupBy("volume_id", "z").agg(F.sum(F.col("mu16") * (F.col("x") + 1)).alias("mu16"), F.sum(F.col("log_scale8") * (F.col("y") + 1)).alias("log_scale8"), F.count("*").alias("n"))
 
 
 @query("volume_sha", f"WITH {VOL} SELECT z, sha256(unhex(string_agg(printf('%02x%02x', v & 255, (v >> 8) & 255), '' ORDER BY y, x))) AS digest FROM vol GROUP BY z")

@@ -23,8 +23,8 @@ def volume(depth, height, width, top=4095, seed=1):
     return np.where(rng.random(t.shape) < 0.1, rng.integers(0, top + 1, t.shape), t).clip(0, top)
 
 
-def as_rows(spark, t):
-    return spark.createDataFrame([(int(z), int(y), [int(v) for v in t[z, y]]) for z in range(t.shape[0]) for y in range(t.shape[1])], "z int, y int, s array<int>")
+def as_rows(spark, t, volume_id="v"):
+    return spark.createDataFrame([(volume_id, int(z), int(y), [int(v) for v in t[z, y]]) for z in range(t.shape[0]) for y in range(t.shape[1])], "volume_id string, z int, y int, s array<int>")
 
 
 def padded_plane(t, y, t0):
@@ -67,6 +67,13 @@ def test_both_forms_of_far_context_agree(spark):
         assert [(r["three_d"], r["far"]) for r in a] == [(r["three_d"], r["far"]) for r in b]
 
 
+def test_contexts_stay_in_their_volume(spark):
+    a, b = as_rows(spark, volume(3, 5, 6, seed=2), "a"), as_rows(spark, volume(4, 7, 9, seed=3), "b")
+    for f in (C.sample_context, C.far_context, C.network_inputs):
+        whole = sorted(map(str, f(a.union(b), 2, 3).collect()))
+        assert whole == sorted(map(str, f(a, 2, 3).collect() + f(b, 2, 3).collect()))
+
+
 def test_far_context_has_all_lanes(spark):
     t = volume(3, 6, 5)
     rows = C.far_context(as_rows(spark, t), 3, 6).collect()
