@@ -78,7 +78,7 @@ def common_prefixes(keys: Column, prefix: str, delimiter: str) -> Column:
 
 def multipart_etag(digests: Column) -> Column:
     """The ETag of an upload: md5 of its parts' raw md5 digests, and their number."""
-    raw = F.aggregate(digests, F.lit(b"").cast("binary"), lambda a, d: F.concat(a, F.unhex(d)))
+    raw = F.unhex(F.array_join(digests, ""))
     return F.concat(F.lit('"'), F.md5(raw), F.lit("-"), F.size(digests).cast("string"), F.lit('"'))
 
 

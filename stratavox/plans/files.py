@@ -64,9 +64,9 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volume_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of every slice as 16-bit little-endian samples."""
     byte = lambda c: F.lpad(F.hex(c.bitwiseAND(F.lit(255))), 2, "0")
-    raw = F.unhex(F.array_join(F.transform("s", lambda v: F.concat(byte(v), byte(F.shiftright(v, 8)))), ""))
+    raw = F.array_join(F.transform("s", lambda v: F.concat(byte(v), byte(F.shiftright(v, 8)))), "")
     listed = rows(spark, sf_dir).select("z", "y", raw.alias("raw")).groupBy("z").agg(F.array_sort(F.collect_list(F.struct("y", "raw"))).alias("p"))
-    return listed.select("z", F.sha2(F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["raw"])), 256).alias("digest"))
+    return listed.select("z", F.sha2(F.unhex(F.array_join(F.transform("p", lambda x: x["raw"]), "")), 256).alias("digest"))
 
 
 @query("scan_npy", f"WITH {VOL}, f AS (SELECT *, count(*) OVER (PARTITION BY z) AS n FROM vol) SELECT 'slice' || z || CASE WHEN z % 4 = 3 THEN '.raw' ELSE '.npy' END AS path, CASE WHEN z % 4 = 3 THEN 'unknown extension' END AS reason, CASE WHEN z % 4 < 3 THEN (count(DISTINCT y))::INT END AS height, CASE WHEN z % 4 < 3 THEN sum(v * (y * 64 + x + 1))::BIGINT END AS weighted FROM f GROUP BY z")

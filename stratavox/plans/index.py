@@ -178,36 +178,36 @@ def list_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(entry.alias("entry"), (F.locate("/", F.substring("url", 9, 1 << 20)) > 0).alias("is_prefix")).groupBy("entry", "is_prefix").agg(F.count("*").alias("n_keys"))
 
 
-_PARTS = "p AS (SELECT l_orderkey AS upload, l_linenumber AS number, md5(l_partkey || '-' || l_suppkey) AS etag, floor(l_extendedprice)::BIGINT AS size FROM lineitem)"
+_PARTS = "p AS (SELECT l_orderkey AS upload, l_linenumber AS number, md5(l_partkey || '-' || l_suppkey) AS etag, floor(l_extendedprice)::BIGINT AS size, strftime(l_shipdate, '%Y-%m-%d') || ' ' || md5(l_partkey || '-' || l_suppkey) AS stored_at FROM lineitem)"
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as the parts of uploads; a number that repeats is a part that was replaced."""
     etag = F.md5(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("number"), etag.alias("etag"), F.floor("l_extendedprice").alias("size"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("number"), etag.alias("etag"), F.floor("l_extendedprice").alias("size"), F.struct(F.to_date("l_shipdate"), etag).alias("stored_at"))
 
 
-@query("latest_part", f"WITH {_PARTS} SELECT upload, number, max(etag) AS etag, count(*)::BIGINT AS n_uploads FROM p WHERE number BETWEEN 1 AND 10000 GROUP BY upload, number")
+@query("latest_part", f"WITH {_PARTS} SELECT upload, number, arg_max(etag, stored_at) AS etag, count(*)::BIGINT AS n_uploads FROM p WHERE number BETWEEN 1 AND 10000 GROUP BY upload, number")
 def latest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part that stands for each upload and number; without a clock in the source the largest ETag is the latest."""
-    return parts(spark, sf_dir).where(F.col("number").between(1, 10000)).groupBy("upload", "number").agg(F.max("etag").alias("etag"), F.count("*").alias("n_uploads"))
+    """The part that stands for each upload and number: the latest; of two of one day the one with the larger ETag."""
+    return parts(spark, sf_dir).where(F.col("number").between(1, 10000)).groupBy("upload", "number").agg(F.max_by("etag", "stored_at").alias("etag"), F.count("*").alias("n_uploads"))
 
 
-@query("multipart_etag", f"""WITH {_PARTS}, u AS (SELECT upload, number, max(etag) AS etag FROM p GROUP BY upload, number)
+@query("multipart_etag", f"""WITH {_PARTS}, u AS (SELECT upload, number, arg_max(etag, stored_at) AS etag FROM p GROUP BY upload, number)
 SELECT upload, '"' || md5(unhex(string_agg(etag, '' ORDER BY number))) || '-' || count(*) || '"' AS etag FROM u GROUP BY upload""")
 def multipart_etag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ETags of completed uploads, from at most 10,000 parts each."""
-    latest = parts(spark, sf_dir).groupBy("upload", "number").agg(F.max("etag").alias("etag"))
+    latest = parts(spark, sf_dir).groupBy("upload", "number").agg(F.max_by("etag", "stored_at").alias("etag"))
     listed = latest.groupBy("upload").agg(F.array_sort(F.collect_list(F.struct("number", "etag"))).alias("p"))
     return listed.select("upload", X.multipart_etag(F.transform("p", lambda x: x["etag"])).alias("etag"))
 
 
-@query("multipart_check", f"""WITH {_PARTS}, u AS (SELECT upload, number, max(etag) AS etag FROM p GROUP BY upload, number),
+@query("multipart_check", f"""WITH {_PARTS}, u AS (SELECT upload, number, arg_max(etag, stored_at) AS etag FROM p GROUP BY upload, number),
 asked AS (SELECT upload, number, '"' || CASE WHEN upload % 11 = 0 THEN md5('other') ELSE etag END || '"' AS etag FROM u UNION ALL SELECT upload, 99, '"' || md5('none') || '"' FROM u WHERE upload % 13 = 0 GROUP BY upload)
 SELECT a.upload, count(*)::BIGINT AS n_asked, count(*) FILTER (u.etag IS NULL)::BIGINT AS n_missing, count(*) FILTER (u.etag <> trim(a.etag, '"'))::BIGINT AS n_differing FROM asked a LEFT JOIN u USING (upload, number) GROUP BY a.upload""")
 def multipart_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts that a completion names against those stored: ETags compare without their quotes."""
-    stored = parts(spark, sf_dir).groupBy("upload", "number").agg(F.max("etag").alias("etag"))
+    stored = parts(spark, sf_dir).groupBy("upload", "number").agg(F.max_by("etag", "stored_at").alias("etag"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     good = stored.select("upload", "number", quoted(F.when(F.col("upload") % 11 == 0, F.md5(F.lit("other"))).otherwise(F.col("etag"))).alias("asked"))
     odd = stored.where(F.col("upload") % 13 == 0).select("upload").distinct().select("upload", F.lit(99).alias("number"), quoted(F.md5(F.lit("none"))).alias("asked"))

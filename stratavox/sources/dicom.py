@@ -1,15 +1,15 @@
-"""DICOM Part 10 files: elements up to the pixel data, as rows.
+"""DICOM files as rows: identity, geometry, layout and where the pixel data lies.
 
-The reader walks data elements only as far as the index needs: identity,
-geometry, layout and where the pixel data lies. Everything it can't follow is a
-reason, not an exception.
+Files may lack the preamble or all file meta elements; the encoding is then told
+from the first data element. Everything that can't be followed is a reason, not
+an exception.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Transfer syntaxes (fixed values).
@@ -17,12 +17,17 @@ IMPLICIT, EXPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1",
 #: Value representations with a 4-byte length in explicit encodings (fixed values).
 LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"}
 PIXELS, FLOATS = 0x7FE00010, (0x7FE00008, 0x7FE00009)
+ITEM, ITEM_END, SEQUENCE_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
 #: Attributes by tag: name and kind (fixed values).
 ATTRIBUTES = {
+    0x00080008: ("image_type", "texts"), 0x00080016: ("sop_class", "text"), 0x0020000D: ("study", "text"), 0x00200012: ("acquisition_number", "integer"), 0x00180086: ("echo_number", "integer"), 0x00200100: ("temporal_position", "integer"),
+    0x00280030: ("pixel_spacing", "decimals"), 0x00180050: ("slice_thickness", "decimal"), 0x00180088: ("slice_spacing", "decimal"), 0x00280004: ("photometric", "text"), 0x00280006: ("planar", "unsigned"), 0x00281052: ("rescale_intercept", "decimal"), 0x00281053: ("rescale_slope", "decimal"),
     0x00080018: ("sop_uid", "text"), 0x00080060: ("modality", "text"), 0x0020000E: ("series", "text"), 0x00200013: ("instance_number", "integer"), 0x00200032: ("position", "decimals"), 0x00200037: ("orientation", "decimals"),
     0x00280002: ("samples_per_pixel", "unsigned"), 0x00280008: ("frames", "integer"), 0x00280010: ("rows", "unsigned"), 0x00280011: ("columns", "unsigned"), 0x00280100: ("bits_allocated", "unsigned"), 0x00280101: ("bits_stored", "unsigned"), 0x00280102: ("high_bit", "unsigned"), 0x00280103: ("pixel_representation", "unsigned"),
 }
-PARSED = "path string, error string, deflated boolean, float_pixels boolean, has_pixels boolean, encapsulated boolean, big_endian boolean, value_start bigint, value_end bigint, sop_uid string, modality string, series string, instance_number bigint, position array<double>, orientation array<double>, samples_per_pixel int, frames bigint, rows int, columns int, bits_allocated int, bits_stored int, high_bit int, pixel_representation int"
+PARSED = "path string, error string, deflated boolean, float_pixels boolean, has_pixels boolean, encapsulated boolean, big_endian boolean, value_start bigint, value_end bigint, sop_uid string, modality string, series string, instance_number bigint, position array<double>, orientation array<double>, samples_per_pixel int, frames bigint, rows int, columns int, bits_allocated int, bits_stored int, high_bit int, pixel_representation int, syntax string, image_type array<string>, sop_class string, study string, acquisition_number bigint, echo_number bigint, temporal_position bigint, pixel_spacing array<double>, slice_thickness double, slice_spacing double, photometric string, planar int, rescale_intercept double, rescale_slope double"
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in PARSED.split(", ")])
 MAX_DEPTH = 32
 UNDEFINED = 0xFFFFFFFF
 
@@ -54,9 +59,9 @@ class _Reader:
         while True:
             tag, _, length, value = self.header()
             self.pos = value
-            if tag == 0xFFFEE0DD:
+            if tag == SEQUENCE_END:
                 return
-            if tag != 0xFFFEE000:
+            if tag != ITEM:
                 raise ValueError("no item in a sequence")
             if length != UNDEFINED:
                 self.pos = value + length
@@ -67,15 +72,32 @@ class _Reader:
         while True:
             tag, kind, length, value = self.header()
             self.pos = value
-            if tag == 0xFFFEE00D:
+            if tag == ITEM_END:
                 return
+            if tag >> 16 == ITEM >> 16:
+                raise ValueError("delimiter outside a sequence")
             if length != UNDEFINED:
                 self.pos = value + length
-            elif kind == b"UN":  # content of unknown representation and length is implicit
-                _Reader.skip_items(inner := _Reader(self.raw, self.pos, False, "little"), depth + 1)
-                self.pos = inner.pos
             else:
-                self.skip_items(depth + 1)
+                self.skip_undefined(kind, depth + 1)
+
+    def skip_undefined(self, kind: bytes, depth: int) -> None:
+        """Moves behind a value of undefined length; one of unknown representation is implicit."""
+        inner = _Reader(self.raw, self.pos, False, "little") if kind == b"UN" else self
+        inner.skip_items(depth)
+        self.pos = inner.pos
+
+    def skip_fragments(self) -> int:
+        """Moves behind encapsulated pixel data and returns where its last fragment ends."""
+        while True:
+            end = self.pos
+            tag, _, length, value = self.header()
+            if tag == SEQUENCE_END:
+                self.pos = value
+                return end
+            if tag != ITEM or length == UNDEFINED or value + length > len(self.raw):
+                raise ValueError("broken fragments of pixel data")
+            self.pos = value + length
 
 
 def _value(raw: bytes, kind: str, order: str) -> object:
@@ -87,7 +109,11 @@ def _value(raw: bytes, kind: str, order: str) -> object:
             return text.lstrip(" ") or None
         if kind == "integer":
             return int(text.split("\\")[0].strip("\0 "))
+        if kind == "texts":
+            return [x.strip(" ") for x in text.split("\\")]
         values = [float(x) for x in text.split("\\")]
+        if kind == "decimal":
+            return values[0] if abs(values[0]) < float("inf") else None
         return values if all(abs(v) < float("inf") for v in values) else None
     except ValueError:
         return None
@@ -95,17 +121,18 @@ def _value(raw: bytes, kind: str, order: str) -> object:
 
 def parse(raw: bytes) -> dict:
     """What the index needs of a file; raises ValueError where it can't be followed."""
-    if len(raw) < 132 or raw[128:132] != b"DICM":
-        raise ValueError("no DICM marker")
-    meta, syntax = _Reader(raw, 132, True, "little"), EXPLICIT
-    while meta.pos < len(raw) and meta.number(meta.pos, 2) == 2:
+    meta, syntax = _Reader(raw, 132 if raw[128:132] == b"DICM" else 0, True, "little"), None
+    while (meta.pos or raw[:2] == b"\2\0") and meta.pos < len(raw) and meta.number(meta.pos, 2) == 2:
         tag, _, length, value = meta.header()
         if value + length > len(raw):
             raise ValueError("element beyond the end of the file")
         if tag == 0x00020010:
             syntax = raw[value : value + length].decode("ascii", "replace").strip("\0 ")
         meta.pos = value + length
-    out: dict = {"deflated": syntax == DEFLATED, "big_endian": syntax == BIG, "float_pixels": False, "has_pixels": False, "encapsulated": False, "value_start": None, "value_end": None}
+    if syntax is None:
+        kind = raw[meta.pos + 4 : meta.pos + 6]
+        syntax = EXPLICIT if kind.isalpha() and kind.isupper() else IMPLICIT
+    out: dict = {"syntax": syntax, "deflated": syntax == DEFLATED, "big_endian": syntax == BIG, "float_pixels": False, "has_pixels": False, "encapsulated": False, "value_start": None, "value_end": None}
     if out["deflated"]:
         return out
     order = "big" if syntax == BIG else "little"
@@ -113,14 +140,18 @@ def parse(raw: bytes) -> dict:
     while data.pos < len(raw):
         tag, kind, length, value = data.header()
         if tag == PIXELS:
-            end = len(raw) if length == UNDEFINED else value + length
+            data.pos = value
+            end = data.skip_fragments() if length == UNDEFINED else value + length
             if end > len(raw):
                 raise ValueError("pixel data beyond the end of the file")
             out |= {"has_pixels": True, "encapsulated": length == UNDEFINED, "value_start": value, "value_end": end}
-            break
+            data.pos = max(data.pos, end)
+            continue
+        if tag >> 16 == ITEM >> 16:
+            raise ValueError("delimiter outside a sequence")
         data.pos = value
         if length == UNDEFINED:
-            data.skip_items(1)
+            data.skip_undefined(kind, 1)
             continue
         if value + length > len(raw):
             raise ValueError("element beyond the end of the file")
@@ -129,7 +160,7 @@ def parse(raw: bytes) -> dict:
             name, how = ATTRIBUTES[tag]
             out[name] = _value(raw[value : value + length], how, order)
         data.pos = value + length
-    for name, n in (("position", 3), ("orientation", 6)):
+    for name, n in (("position", 3), ("orientation", 6), ("pixel_spacing", 2)):
         if out.get(name) is not None:
             out[name] = out[name][:n] if len(out[name]) >= n else None
     return out
@@ -137,20 +168,20 @@ def parse(raw: bytes) -> dict:
 
 def parsed(files: DataFrame) -> DataFrame:
     """One row per file of (path, content): PARSED, with the error of files that can't be followed."""
-    names = [x.split()[0] for x in PARSED.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    row = parse(bytes(content)) | {"error": None}
+                    row = parse(content.as_py() or b"")
                 except ValueError as e:
                     row = {"error": str(e), "deflated": False, "float_pixels": False, "has_pixels": False, "encapsulated": False, "big_endian": False}
-                rows.append({n: row.get(n) for n in names} | {"path": path})
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+                row["path"] = path
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return files.select("path", "content").mapInPandas(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
 def element(tag: int, kind: bytes, value: bytes, explicit: bool = True, order: str = "little") -> bytes:

@@ -21,7 +21,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 def puts(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """The stream of puts in a folder of event files."""
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return raw.select(F.col("event_type").alias("bucket"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 20).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("user_id").alias("series"), F.floor(F.col("value") * 100).alias("size"), F.col("ts").cast("timestamp").alias("ts"))
+    stored = raw.where("event_id % 17 <> 0")  # the others are deletes
+    return stored.select(F.col("event_type").alias("bucket"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 20).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("user_id").alias("series"), F.floor(F.col("value") * 100).alias("size"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def quiet_series(stream: DataFrame, gap: str = "2 hours", late: str = "1 hour", least: int = 1) -> DataFrame:
