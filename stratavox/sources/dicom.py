@@ -7,6 +7,7 @@ an exception.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,25 +33,29 @@ MAX_DEPTH = 32
 UNDEFINED = 0xFFFFFFFF
 
 
+#: An element's first 8 bytes, and a length of 4.
+_FORMS = {"little": (struct.Struct("<HH2sH"), struct.Struct("<I")), "big": (struct.Struct(">HH2sH"), struct.Struct(">I"))}
+
+
 class _Reader:
     def __init__(self, raw: bytes, pos: int, explicit: bool, order: str):
         self.raw, self.pos, self.explicit, self.order = raw, pos, explicit, order
 
-    def number(self, at: int, size: int) -> int:
-        if at + size > len(self.raw):
-            raise ValueError("truncated element header")
-        return int.from_bytes(self.raw[at : at + size], self.order)
-
     def header(self) -> tuple[int, bytes, int, int]:
         """Tag, representation, length and start of the value of the next element."""
-        p = self.pos
-        tag = self.number(p, 2) << 16 | self.number(p + 2, 2)
-        if not self.explicit or tag >> 16 == 0xFFFE:
-            return tag, b"", self.number(p + 4, 4), p + 8
-        kind = self.raw[p + 4 : p + 6]
+        raw, p, (short, number) = self.raw, self.pos, _FORMS[self.order]
+        try:
+            group, element, kind, size = short.unpack_from(raw, p)
+            tag = group << 16 | element
+            if not self.explicit or group == 0xFFFE:
+                return tag, b"", number.unpack_from(raw, p + 4)[0], p + 8
+            if kind in LONG:
+                return tag, kind, number.unpack_from(raw, p + 8)[0], p + 12
+        except struct.error:
+            raise ValueError("truncated element header") from None
         if not (kind.isalpha() and kind.isupper()):
             raise ValueError(f"no value representation at {p + 4}")
-        return (tag, kind, self.number(p + 8, 4), p + 12) if kind in LONG else (tag, kind, self.number(p + 6, 2), p + 8)
+        return tag, kind, size, p + 8
 
     def skip_items(self, depth: int) -> None:
         """Moves behind a sequence of undefined length."""
@@ -122,7 +127,7 @@ def _value(raw: bytes, kind: str, order: str) -> object:
 def parse(raw: bytes) -> dict:
     """What the index needs of a file; raises ValueError where it can't be followed."""
     meta, syntax = _Reader(raw, 132 if raw[128:132] == b"DICM" else 0, True, "little"), None
-    while (meta.pos or raw[:2] == b"\2\0") and meta.pos < len(raw) and meta.number(meta.pos, 2) == 2:
+    while (meta.pos or raw[:2] == b"\2\0") and meta.pos < len(raw) and raw[meta.pos : meta.pos + 2] == b"\2\0":
         tag, _, length, value = meta.header()
         if value + length > len(raw):
             raise ValueError("element beyond the end of the file")
@@ -179,7 +184,7 @@ def parsed(files: DataFrame) -> DataFrame:
                     row = {"error": str(e), "deflated": False, "float_pixels": False, "has_pixels": False, "encapsulated": False, "big_endian": False}
                 row["path"] = path
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c.name) for r in rows], c.type) for c in _SCHEMA], schema=_SCHEMA)
 
     return files.select("path", "content").mapInArrow(run, PARSED)
 
