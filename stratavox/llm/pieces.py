@@ -590,6 +590,18 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(v.raw.__getitem__, ids)).decode()
 
 
+def spell(v: Vocabulary, ids: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, and where each id's begin; `step` ids at a time."""
+    sizes = np.fromiter(map(len, v.raw), np.int64, len(v.raw))
+    table, own = np.frombuffer(b"".join(v.raw), np.uint8), np.cumsum(sizes) - sizes
+    at = np.r_[0, np.cumsum(sizes[ids])]
+    out = np.empty(at[-1], np.uint8)
+    for s in range(0, len(ids), step):
+        part, begin, end = ids[s : s + step], at[s], at[min(s + step, len(ids))]
+        out[begin:end] = table[np.repeat(own[part] - at[s : s + len(part)], sizes[part]) + np.arange(begin, end)]
+    return out, at
+
+
 def decode(ids: Column, model: str) -> Column:
     """The text of sampled ids; null stays null."""
 
@@ -604,8 +616,12 @@ def n_decoded(text: Column, drawn: Column, model: str) -> Column:
     """How many of the samples decode to the text (null is empty)."""
 
     def run(texts: pa.Array, drawn: pa.Array) -> pa.Array:
-        v = vocabulary(model)
-        own = [(t or "").encode() for t in texts.to_pylist()]
-        return pa.array([sum(b"".join(map(v.raw.__getitem__, ids)) == t for ids in lists) for t, lists in zip(own, drawn.to_pylist(), strict=True)], pa.int64())
+        lists = drawn.flatten()
+        spelled, at = spell(vocabulary(model), np.asarray(lists.flatten()))
+        cuts = at[np.r_[0, np.asarray(lists.value_lengths()).cumsum()]].tolist()
+        of, good = np.repeat(np.arange(len(texts)), np.asarray(drawn.value_lengths())), np.zeros(len(texts), np.int64)
+        for i, start, end in zip(of.tolist(), cuts[:-1], cuts[1:], strict=True):
+            good[i] += spelled[start:end].tobytes() == (texts[i].as_py() or "").encode()
+        return pa.array(good)
 
     return F.arrow_udf(run, "bigint")(text.cast("string"), F.transform(drawn, lambda x: x["ids"]))
