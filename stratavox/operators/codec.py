@@ -104,7 +104,7 @@ def decode(tiles: DataFrame) -> DataFrame:
     return tiles.select("volume_id", "z0", "y0", "depth", "height", "width", "lo", "samples_crc", "stream_crc", "stream").mapInPandas(run, "volume_id string, z int, y int, s array<int>, ok boolean")
 
 
-def decode_slices(tiles: DataFrame, first: int, end: int) -> DataFrame:
-    """Rows of the slices first..end-1: only tiles of the slabs that hold them are decoded."""
-    need = tiles.where((F.col("z0") < end) & (F.col("z0") + F.col("depth") > first))
+def decode_slices(tiles: DataFrame, first: int, end: int, slab: int = 32) -> DataFrame:
+    """Rows of the slices first..end-1: only tiles of the slabs that hold them are read and decoded."""
+    need = tiles.where((F.col("slab") >= first // slab) & (F.col("slab") <= (end - 1) // slab))
     return decode(need).where(F.col("z").between(first, end - 1))

@@ -1,10 +1,17 @@
-"""Splits and summaries of evaluations."""
+"""Selections, splits, bootstrap replicates and summaries of evaluations."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratavox.sources.storage import written
+
 
 def validation(key: Column, share: float, seed: int = 0) -> Column:
     """True for about this share of keys, the same ones in every run."""
@@ -19,3 +26,57 @@ def as_table(summary: DataFrame) -> DataFrame:
 
 def as_json(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct("*")).alias("line"))
+
+
+def select_in_order(candidates: DataFrame, rules: list[tuple[str, Column, int]]) -> DataFrame:
+    """The first `count` candidates (uid, patient) by hash for each (name, condition, count), one a patient: (rule, uid, patient, id).
+
+    Rules choose one after another and none takes what an earlier one took. Picks
+    are as many as the counts say; each rule's are written, so that the next
+    reads them and doesn't choose anew.
+    """
+    chosen = None
+    for name, condition, count in rules:
+        own = candidates.where(condition)
+        if chosen is not None:
+            own = own.join(chosen, "uid", "left_anti")
+        best = own.groupBy("patient").agg(F.min(F.struct(F.sha2("uid", 256).alias("h"), "uid")).alias("x")).orderBy("x").limit(count)
+        picked = written(best.select(F.lit(name).alias("rule"), "x.uid", "patient", F.concat(F.lit(f"{name}-"), F.left("x.h", F.lit(8))).alias("id")), "picks")
+        chosen = picked if chosen is None else chosen.union(picked)
+    return chosen
+
+
+#: Cumulative probabilities of a Poisson(1) count; what lies beyond is below 1e-16.
+_POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(18)])
+
+
+def _counts(ids: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts (ids, reps), each a function of its id, replicate and the seed."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(reps, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))[None, :] * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def replicate_means(rows: DataFrame, reps: int = 10_000, seed: int = 0) -> DataFrame:
+    """Means of bootstrap replicates of rows (id, group, value): (group, rep, mean).
+
+    Poisson resampling: a row counts Poisson(1) times in a replicate, so tasks fold
+    sums of their own and no sample is gathered. Null values are left out.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for group, own in batch.groupby("group"):
+                total = sums.setdefault(group, np.zeros((2, reps)))
+                for at in range(0, len(own), 64):
+                    part = own.iloc[at : at + 64]
+                    w = _counts(part["id"].to_numpy(), reps, seed).astype(np.float64)
+                    total += np.stack([part["value"].to_numpy() @ w, w.sum(axis=0)])
+        for group, t in sums.items():
+            yield pd.DataFrame({"group": group, "rep": np.arange(reps), "total": t[0], "n": t[1]})
+
+    parts = rows.where("value IS NOT NULL").select("id", "group", "value").mapInPandas(fold, "group string, rep int, total double, n double")
+    return parts.groupBy("group", "rep").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))

@@ -76,6 +76,52 @@ def common_prefixes(keys: Column, prefix: str, delimiter: str) -> Column:
     return F.when(cut > 0, F.concat(F.lit(prefix), F.substring(rest, F.lit(1), cut + (len(delimiter) - 1)))).otherwise(keys)
 
 
+def listing(keys: DataFrame, prefix: str, delimiter: str, after: str, page: int) -> DataFrame:
+    """One page of a listing (entry, is_prefix, n_keys), in byte order, after the entry `after`.
+
+    Keys below a common prefix that is the cursor itself were listed with it and are skipped.
+    """
+    entry = common_prefixes(F.col("key"), prefix, delimiter)
+    own = keys.where(F.col("key").startswith(prefix) & (F.col("key") > after)).select("key", entry.alias("entry")).where(F.col("entry") > after)
+    grouped = own.groupBy("entry").agg(F.max(F.col("entry") != F.col("key")).alias("is_prefix"), F.count("*").alias("n_keys"))
+    return grouped.orderBy("entry").limit(page)
+
+
+def delete_batches(asked: DataFrame, state: DataFrame, most: int = 1000) -> DataFrame:
+    """Requests (request, bucket, key) to delete keys: their number of keys, an error where there are too many, keys that exist and keys that are missing.
+
+    A key asked for twice counts once; a missing key succeeds. State holds live objects.
+    """
+    keys = asked.groupBy("request", "bucket", "key").agg(F.count("*").alias("times"))
+    known = keys.join(state.select("bucket", "key", F.lit(True).alias("known")), ["bucket", "key"], "left")
+    by = known.groupBy("request").agg(F.sum("times").alias("n_keys"), F.count_if(F.col("known")).alias("found"), F.count_if(F.col("known").isNull()).alias("absent"))
+    over = F.col("n_keys") > most
+    kept = lambda c: F.when(over, F.lit(0)).otherwise(F.col(c)).cast("bigint")
+    return by.select("request", "n_keys", F.when(over, "MalformedXML").alias("error"), kept("found").alias("n_deleted"), kept("absent").alias("n_missing"))
+
+
+def upload_parts(events: DataFrame) -> DataFrame:
+    """Parts that are left of an upload log (upload, seq, kind: create, part, complete or abort, number, etag, size).
+
+    A part stands if its upload was created before it and neither completed nor
+    aborted; of a number the last one counts. One fold by upload and number after
+    an anti-join with the uploads that are over.
+    """
+    created = events.where("kind = 'create'").groupBy("upload").agg(F.min("seq").alias("since"))
+    over = events.where("kind IN ('complete', 'abort')").select("upload").distinct()
+    own = events.where("kind = 'part'").join(over, "upload", "left_anti").join(created, "upload").where("seq > since")
+    newest = own.groupBy("upload", "number").agg(F.max_by(F.struct("etag", "size", "seq"), "seq").alias("p"))
+    return newest.select("upload", "number", "p.*")
+
+
+def orphan_files(files: DataFrame, objects: DataFrame, parts: DataFrame) -> DataFrame:
+    """Files (folder, name) that nothing refers to: raw ones without an object, archives without members, parts without an upload."""
+    raw = objects.where("archive IS NULL").select(F.lit("raw").alias("folder"), F.col("seq").cast("string").alias("name"))
+    held = objects.where("archive IS NOT NULL").select(F.lit("archives").alias("folder"), F.col("archive").cast("string").alias("name")).distinct()
+    used = raw.union(held).union(parts.select(F.lit("parts").alias("folder"), F.concat_ws("-", F.col("upload").cast("string"), F.col("number").cast("string")).alias("name")))
+    return files.join(used, ["folder", "name"], "left_anti")
+
+
 def multipart_etag(digests: Column) -> Column:
     """The ETag of an upload: md5 of its parts' raw md5 digests, and their number."""
     raw = F.unhex(F.array_join(digests, ""))

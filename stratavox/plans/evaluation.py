@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratavox.operators import evaluation as E
 from stratavox.plans.registry import query, table
+from stratavox.sources import catalogue
+from stratavox.sources.storage import shared_folder
 
 #: Order lines as codec results: a volume is an order, a codec a ship flag, sizes and times are the line's figures.
 RES = """res AS (
@@ -88,29 +90,56 @@ def sample_slices(spark: SparkSession, sf_dir: str, per_slice: int = 100, seed:
 
 
 @query("bootstrap_ci")
-def bootstrap_ci(spark: SparkSession, sf_dir: str, reps: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % intervals of a codec's mean saving.
-
-    Poisson resampling: every volume counts Poisson(1) times in a replicate, so
-    replicates are sums that tasks fold on their own; no sample is gathered.
-    """
+def bootstrap_ci(spark: SparkSession, sf_dir: str, reps: int = 10_000, seed: int = 0) -> DataFrame:
+    """95 % intervals of a codec's mean saving."""
     res = results(spark, sf_dir)
     own = res.where("codec = 'own'").select("id", F.col("bytes").alias("own_bytes"))
-    pair = res.where("codec <> 'own'").join(own, "id").select("id", "codec", (100 * (1 - F.col("own_bytes").cast("double") / F.col("bytes"))).alias("saving"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for codec, rows in batch.groupby("codec"):
-                for i, x in zip(rows["id"], rows["saving"], strict=True):
-                    w = np.random.Generator(np.random.PCG64([seed, int(i)])).poisson(1.0, reps)
-                    total = sums.setdefault(codec, np.zeros((2, reps)))
-                    total[0] += w * x
-                    total[1] += w
-        for codec, t in sums.items():
-            yield pd.DataFrame({"codec": codec, "rep": np.arange(reps), "total": t[0], "n": t[1]})
-
-    parts = pair.mapInPandas(fold, "codec string, rep int, total double, n double")
-    means = parts.groupBy("codec", "rep").agg((F.sum("total") / F.greatest(F.sum("n"), F.lit(1.0))).alias("mean"))
+    pair = res.where("codec <> 'own'").join(own, "id").select("id", F.col("codec").alias("group"), (100 * (1 - F.col("own_bytes").cast("double") / F.col("bytes"))).alias("value"))
     ends = F.percentile("mean", [0.025, 0.975])
-    return means.groupBy("codec").agg(ends.alias("e")).select("codec", F.get("e", 0).alias("low"), F.get("e", 1).alias("high"))
+    return E.replicate_means(pair, reps, seed).groupBy(F.col("group").alias("codec")).agg(ends.alias("e")).select("codec", F.get("e", 0).alias("low"), F.get("e", 1).alias("high"))
+
+
+_RULES = (("building", "c_mktsegment = 'BUILDING'", 6), ("rich", "c_acctbal > 5000", 8), ("third", "c_custkey % 3 = 0", 10))
+
+
+def _rules_sql() -> str:
+    out, taken = [], "SELECT NULL WHERE false"
+    for name, condition, n in _RULES:
+        out.append(f"{name} AS (SELECT '{name}' AS rule, c_name AS uid, c_nationkey AS patient, '{name}-' || substr(sha256(c_name), 1, 8) AS id FROM (SELECT * FROM customer WHERE {condition} AND c_name NOT IN ({taken}) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256(c_name)) = 1) ORDER BY sha256(c_name) LIMIT {n})")
+        taken = " UNION ALL ".join(f"SELECT uid FROM {r[0]}" for r in _RULES[: len(out)])
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM {r[0]}" for r in _RULES)
+
+
+@query("select_rules", _rules_sql())
+def select_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose candidates overlap, in order: each takes what those before it left."""
+    cand = table(spark, sf_dir, "customer").withColumns({"uid": F.col("c_name"), "patient": F.col("c_nationkey")})
+    return E.select_in_order(cand, [(name, F.expr(condition), n) for name, condition, n in _RULES])
+
+
+@query("slice_sort", """WITH p AS (SELECT l_orderkey AS series, l_linenumber AS instance, round(l_extendedprice * 100)::BIGINT * 5 AS u FROM lineitem),
+e AS (SELECT *, u // 10 + CASE WHEN u % 10 > 5 OR (u % 10 = 5 AND (u // 10) % 2 = 1) THEN 1 ELSE 0 END AS place FROM p)
+SELECT series, instance, place::BIGINT AS place, row_number() OVER (PARTITION BY series ORDER BY place, instance) AS k FROM e""")
+def slice_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of a series by position in thousandths, ties of the rounding to even, then by instance."""
+    units = (F.round(F.col("l_extendedprice") * 100).cast("bigint") * 5).cast("decimal(20,0)")
+    place = (F.bround(units * F.lit(Decimal("0.0001")), 3) * 1000).cast("bigint")
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("instance"), place.alias("place"))
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("series").orderBy("place", "instance")))
+
+
+@query("result_scan", f"WITH {RES} SELECT id::VARCHAR AS id, codec, bytes, raw, encode_s::DOUBLE AS encode_s, decode_s::DOUBLE AS decode_s, lossless, modality, NULL::VARCHAR AS bad FROM res")
+def result_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as CSV and read by their schema."""
+    at = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    results(spark, sf_dir).select("id", "codec", "modality", "bytes", "raw", "encode_s", "decode_s", "lossless").write.option("header", True).csv(at)
+    return catalogue.results(spark, at)
+
+
+@query("series_list", "SELECT c_name AS uid, 'p' || c_nationkey AS patient, c_mktsegment AS modality, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE (c_custkey % 90)::INT END AS images, CASE WHEN c_custkey % 5 > 0 THEN 'CC BY' ELSE '' END AS license FROM customer WHERE CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 90 END BETWEEN 0 AND 60")
+def series_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue's series read from JSON; a count that is no number is 0, a missing licence is empty."""
+    at, k = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}", F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("SeriesInstanceUID"), F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("PatientID"), F.col("c_mktsegment").alias("Modality"), F.when(k % 7 == 0, "unknown").otherwise((k % 90).cast("string")).alias("ImageCount"), F.when(k % 5 > 0, "CC BY").alias("LicenseName"))
+    own.write.json(at)
+    return catalogue.series(spark, at).where(F.col("images").between(0, 60)).select("uid", "patient", "modality", "images", "license")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.functions.digests import zstd_compress, zstd_decompress
+from stratavox.operators import archive as A
 from stratavox.operators import codec as K
 from stratavox.operators import stacks as S
 from stratavox.plans.context import UNTRAINED, untrained
 from stratavox.plans.registry import query, table
 from stratavox.plans.volume import VOL, rows
 from stratavox.sources import arrays, dicom
+from stratavox.sources.storage import shared_folder, written
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +46,14 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decode_slices", _SLICES + " WHERE z >= 3 AND z < 6 GROUP BY z")
 def decode_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices 3 to 5: tiles of other slabs are not decoded."""
-    return _by_slice(K.decode_slices(tiles(spark, sf_dir), 3, 6))
+    """Slices 3 to 5 of a written volume: tiles of other slabs are neither read nor decoded."""
+    return _by_slice(K.decode_slices(written(tiles(spark, sf_dir), "tiles"), 3, 6, slab=4))
 
 
 @query("inspect", f"WITH {VOL}, t AS (SELECT DISTINCT z // 4 AS slab, y // 16 AS stripe FROM vol) SELECT 'embeddings' AS volume_id, (SELECT count(*) FROM t)::BIGINT AS n_tiles, max(z // 4 + 1)::INT AS slabs, max(y // 16 + 1)::INT AS stripes, count(*)::BIGINT AS n_samples, min(v)::INT AS lo FROM vol")
 def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the tile table says of a volume without its streams."""
-    t = tiles(spark, sf_dir).drop("stream")
+    """What a written tile table says of a volume: its streams are not read."""
+    t = written(tiles(spark, sf_dir), "tiles").drop("stream")
     return t.groupBy("volume_id").agg(F.count("*").alias("n_tiles"), (F.max("slab") + 1).alias("slabs"), (F.max("stripe") + 1).alias("stripes"), F.sum(F.col("depth").cast("bigint") * F.col("height") * F.col("width")).alias("n_samples"), F.min("lo").alias("lo"))
 
 
@@ -131,9 +135,21 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("archive_ls", f"""WITH f AS (SELECT l_orderkey AS series, l_linenumber AS n, l_partkey AS p, {_REASON} IS NULL AS coded FROM lineitem)
 SELECT '9.' || series AS series, count(*)::BIGINT AS n_instances, sum(CASE WHEN p % 3 > 0 THEN 1 ELSE 0 END)::BIGINT AS n_placed FROM f WHERE coded GROUP BY series""")
 def archive_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an archive of the files lists of its coded instances."""
-    parsed = dicom.parsed(_files(spark, sf_dir)).where("error IS NULL AND NOT deflated AND has_pixels AND NOT encapsulated")
-    return parsed.groupBy("series").agg(F.count("*").alias("n_instances"), F.count("position").alias("n_placed"))
+    """What a written archive of the files lists of its coded instances; no frame is read."""
+    return A.listing(_archive(spark, sf_dir)).select("series", "n_instances", "n_placed")
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    A.write(A.pack(_files(spark, sf_dir)), at)
+    return A.opened(spark, at)
+
+
+@query("archive_restore", f"SELECT CASE WHEN {_REASON} IS NULL THEN 'coded' ELSE 'raw' END AS kind, count(*)::BIGINT AS n, count(*)::BIGINT AS n_restored FROM lineitem GROUP BY 1")
+def archive_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files restored from a written archive, byte for byte by their digests."""
+    back = A.restore(_archive(spark, sf_dir))
+    return back.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_restored"))
 
 
 @query("compact_verify", "SELECT source, count(*)::BIGINT AS n_objects, sum(octet_length(encode(text)))::BIGINT AS bytes_in, true AS verified FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source")

@@ -104,11 +104,12 @@ def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("bucket", "key", "seq", place.alias("place"), F.col("bytes").alias("archive_bytes"))
 
 
-@query("live_archives", f"WITH {LOG} SELECT a AS id, coalesce(live, 0)::BIGINT AS live, coalesce(bytes, 0)::BIGINT AS bytes, live IS NULL AS removable FROM range(60) r(a) LEFT JOIN arch ON arch.id = a")
+@query("live_archives", f"WITH {LOG}, known AS (SELECT DISTINCT series % 50 AS id FROM log WHERE NOT deleted AND seq % 3 = 0) SELECT known.id, coalesce(live, 0)::BIGINT AS live, coalesce(bytes, 0)::BIGINT AS bytes, live IS NULL AS removable FROM known LEFT JOIN arch ON arch.id = known.id")
 def live_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives with the number of objects that still live in them; those without can be removed."""
-    known = spark.range(60)
-    joined = known.join(X.archives(objects(spark, sf_dir)), "id", "left")
+    """Archives that were ever written, with the objects that still live in them; those without can be removed."""
+    own = log(spark, sf_dir)
+    known = own.where("NOT deleted AND seq % 3 = 0").select((F.col("series") % 50).alias("id")).distinct()
+    joined = known.join(X.archives(X.live(own)), "id", "left")
     return joined.select("id", F.coalesce("live", F.lit(0)).cast("bigint").alias("live"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"), F.col("live").isNull().alias("removable"))
 
 
@@ -178,6 +179,28 @@ def list_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(entry.alias("entry"), (F.locate("/", F.substring("url", 9, 1 << 20)) > 0).alias("is_prefix")).groupBy("entry", "is_prefix").agg(F.count("*").alias("n_keys"))
 
 
+@query("list_objects", f"""WITH {LOG}, e AS (SELECT DISTINCT key FROM obj WHERE starts_with(key, 'u1') AND key > 'u105/'),
+g AS (SELECT CASE WHEN contains(substr(key, 3), '/') THEN 'u1' || substr(substr(key, 3), 1, instr(substr(key, 3), '/')) ELSE key END AS entry FROM e)
+SELECT entry, contains(entry, '/') AS is_prefix, count(*)::BIGINT AS n_keys FROM g WHERE entry > 'u105/' GROUP BY entry ORDER BY entry LIMIT 50""")
+def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of objects with prefix, delimiter and cursor at once."""
+    return X.listing(objects(spark, sf_dir).select("key").distinct(), "u1", "/", "u105/", 50)
+
+
+_ASKED = "asked AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey ELSE -(l_suppkey // 8) - 1 END AS request, 'purchase' AS bucket, 'u' || (l_partkey % 200) || '/' || l_linenumber AS key FROM lineitem)"
+
+
+@query("delete_batch", f"""WITH {LOG}, {_ASKED}, k AS (SELECT request, bucket, key, count(*) AS times FROM asked GROUP BY ALL),
+j AS (SELECT request, sum(times)::BIGINT AS n_keys, count(o.key)::BIGINT AS found, (count(*) - count(o.key))::BIGINT AS absent FROM k LEFT JOIN obj o USING (bucket, key) GROUP BY request)
+SELECT request, n_keys, CASE WHEN n_keys > 1000 THEN 'MalformedXML' END AS error, CASE WHEN n_keys > 1000 THEN 0 ELSE found END AS n_deleted, CASE WHEN n_keys > 1000 THEN 0 ELSE absent END AS n_missing FROM j""")
+def delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch deletes of at most 1,000 keys; missing keys succeed."""
+    s = F.col("l_suppkey")
+    key = F.concat(F.lit("u"), (F.col("l_partkey") % 200).cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    asked = table(spark, sf_dir, "lineitem").select(F.when(s % 2 == 0, s).otherwise(-F.floor(s / 8) - 1).alias("request"), F.lit("purchase").alias("bucket"), key.alias("key"))
+    return X.delete_batches(asked, objects(spark, sf_dir))
+
+
 _PARTS = "p AS (SELECT l_orderkey AS upload, l_linenumber AS number, md5(l_partkey || '-' || l_suppkey) AS etag, floor(l_extendedprice)::BIGINT AS size, strftime(l_shipdate, '%Y-%m-%d') || ' ' || md5(l_partkey || '-' || l_suppkey) AS stored_at FROM lineitem)"
 
 
@@ -215,6 +238,40 @@ def multipart_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("upload").agg(F.count("*").alias("n_asked"), F.count_if(F.col("etag").isNull()).alias("n_missing"), F.count_if(F.col("etag") != F.btrim("asked", F.lit('"'))).alias("n_differing"))
 
 
+_UPLOADS = """ev AS (SELECT o_orderkey AS upload, CASE WHEN o_orderkey % 9 = 0 THEN 5 ELSE 0 END AS seq, 'create' AS kind, NULL::BIGINT AS number FROM orders WHERE o_orderkey % 10 > 0
+  UNION ALL SELECT o_orderkey, 100, CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'abort' END, NULL FROM orders WHERE o_orderstatus <> 'O'
+  UNION ALL SELECT l_orderkey, l_linenumber, 'part', l_linenumber % 4 FROM lineitem),
+left_ AS (SELECT p.upload, p.number, max(p.seq) AS seq FROM ev p JOIN ev c ON p.upload = c.upload AND c.kind = 'create' AND p.seq > c.seq WHERE p.kind = 'part' AND p.upload NOT IN (SELECT upload FROM ev WHERE kind IN ('complete', 'abort')) GROUP BY p.upload, p.number)"""
+
+
+def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as uploads, their lines as parts: created, completed or aborted."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("bigint")
+    start = F.when(F.col("o_orderkey") % 9 == 0, F.lit(5)).otherwise(F.lit(0)).cast("bigint")
+    created = orders.where("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("upload"), start.alias("seq"), F.lit("create").alias("kind"), none.alias("number"))
+    over = orders.where("o_orderstatus <> 'O'").select("o_orderkey", F.lit(100).cast("bigint"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("abort"), none)
+    n = F.col("l_linenumber").cast("bigint")
+    stored = lines.select("l_orderkey", n.alias("seq"), F.lit("part").alias("kind"), (n % 4).alias("number"))
+    return created.union(over).union(stored).withColumn("etag", F.md5(F.concat_ws("-", F.col("upload").cast("string"), F.col("seq").cast("string")))).withColumn("size", F.col("seq") * 10)
+
+
+@query("upload_parts", f"WITH {_UPLOADS} SELECT upload, number, md5(upload || '-' || seq) AS etag, (seq * 10)::BIGINT AS size, seq::BIGINT AS seq FROM left_")
+def upload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of uploads that are still open; an abort or a completion takes its parts along."""
+    return X.upload_parts(upload_events(spark, sf_dir))
+
+
+@query("orphan_files", f"""WITH {LOG}, {_UPLOADS}, files AS (SELECT 'raw' AS folder, seq::VARCHAR AS name FROM log WHERE NOT deleted UNION ALL SELECT DISTINCT 'archives', (series % 50)::VARCHAR FROM log UNION ALL SELECT DISTINCT 'parts', upload || '-' || number FROM ev WHERE kind = 'part')
+SELECT * FROM files WHERE NOT (folder = 'raw' AND name IN (SELECT seq::VARCHAR FROM obj WHERE archive IS NULL)) AND NOT (folder = 'archives' AND name IN (SELECT id::VARCHAR FROM arch)) AND NOT (folder = 'parts' AND name IN (SELECT upload || '-' || number FROM left_))""")
+def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all three folders that nothing refers to any more."""
+    own, events = log(spark, sf_dir), upload_events(spark, sf_dir)
+    named = lambda folder, df, *c: df.select(F.lit(folder).alias("folder"), F.concat_ws("-", *[F.col(x).cast("string") for x in c]).alias("name"))
+    files = named("raw", own.where("NOT deleted"), "seq").union(named("archives", own.select((F.col("series") % 50).alias("a")), "a").distinct()).union(named("parts", events.where("kind = 'part'"), "upload", "number").distinct())
+    return X.orphan_files(files, X.live(own), X.upload_parts(events))
+
+
 @query("model_lookup", "WITH m AS (SELECT md5(p_name) AS id, min(p_partkey) AS model, count(*) AS n FROM part GROUP BY 1), w AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN md5('unknown') ELSE md5(p_name) END AS id FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, model, CASE WHEN model IS NULL THEN 'unknown model ' || id END AS error FROM w LEFT JOIN m USING (id)")
 def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models by content id; a stream whose model is unknown gets an error, not a failure."""
@@ -272,12 +329,30 @@ def latency_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("cumulative", F.sum("n").over(Window.partitionBy("op").orderBy("le").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query("metrics_render", f"""WITH {_REQ}, c AS (SELECT op, CAST(least(5, greatest(2, status // 100)) AS VARCHAR) || 'xx' AS class FROM req),
-t AS (SELECT op, class, count(*) AS n FROM c GROUP BY ALL)
+_GAUGES = ("raw", "raw_bytes", "archived", "archived_bytes", "archives", "pending_series")
+
+
+@query("metrics_render", f"""WITH {LOG}, {_HIST}, c AS (SELECT op, CAST(least(5, greatest(2, status // 100)) AS VARCHAR) || 'xx' AS class FROM req),
+t AS (SELECT op, class, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT op, count(*) AS n, sum(round(seconds * 1000000)::BIGINT)::BIGINT AS micros FROM req GROUP BY op),
+stored AS (SELECT count(*) FILTER (archive IS NULL)::BIGINT AS raw, coalesce(sum(size) FILTER (archive IS NULL), 0)::BIGINT AS raw_bytes, count(*) FILTER (archive IS NOT NULL)::BIGINT AS archived, coalesce(sum(size) FILTER (archive IS NOT NULL), 0)::BIGINT AS archived_bytes, count(DISTINCT archive)::BIGINT AS archives, count(DISTINCT series) FILTER (archive IS NULL)::BIGINT AS pending_series FROM obj)
 SELECT 'requests_total{{operation="' || op || '",status="' || class || '"}} ' || n AS line FROM t
-UNION ALL SELECT 'request_duration_seconds_count{{operation="' || op || '"}} ' || count(*) FROM req GROUP BY op""")
+UNION ALL SELECT 'request_duration_seconds_bucket{{operation="' || op || '",le="' || le || '"}} ' || cumulative FROM cum
+UNION ALL SELECT 'request_duration_seconds_bucket{{operation="' || op || '",le="+Inf"}} ' || n FROM s
+UNION ALL SELECT 'request_duration_seconds_sum{{operation="' || op || '"}} ' || (micros // 1000000) || '.' || printf('%06d', micros % 1000000) FROM s
+UNION ALL SELECT 'request_duration_seconds_count{{operation="' || op || '"}} ' || n FROM s """ + " ".join(f"UNION ALL SELECT 'store_{n} ' || {n} FROM stored" for n in _GAUGES))
 def metrics_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters as lines of the text exposition format."""
+    """Lines of the text exposition format: counters, histograms with their sums, and gauges of the store."""
     own = requests(spark, sf_dir).withColumn("class", F.concat(F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("status") / 100))).cast("string"), F.lit("xx")))
-    by = own.groupBy("op", "class").agg(F.count("*").alias("n")).select(F.format_string('requests_total{operation="%s",status="%s"} %d', "op", "class", "n").alias("line"))
-    return by.unionByName(own.groupBy("op").agg(F.count("*").alias("n")).select(F.format_string('request_duration_seconds_count{operation="%s"} %d', "op", "n").alias("line")))
+    line = lambda df, form, *c: df.select(F.format_string(form, *c).alias("line"))
+    by = own.groupBy("op", "class").agg(F.count("*").alias("n"))
+    # sums of whole microseconds don't depend on the order of the rows
+    sums = own.groupBy("op").agg(F.count("*").alias("n"), F.sum(F.round(F.col("seconds") * 1_000_000).cast("bigint")).alias("micros"))
+    parts = [
+        line(by, 'requests_total{operation="%s",status="%s"} %d', "op", "class", "n"), line(latency_hist(spark, sf_dir), 'request_duration_seconds_bucket{operation="%s",le="%s"} %d', "op", F.col("le").cast("string"), "cumulative"),
+        line(sums, 'request_duration_seconds_bucket{operation="%s",le="+Inf"} %d', "op", "n"), line(sums, 'request_duration_seconds_sum{operation="%s"} %d.%06d', "op", F.expr("micros DIV 1000000"), F.col("micros") % 1_000_000),
+        line(sums, 'request_duration_seconds_count{operation="%s"} %d', "op", "n"), line(X.gauges(objects(spark, sf_dir)).select(F.expr(f"stack({len(_GAUGES)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in _GAUGES)}) AS (name, v)")), "store_%s %d", "name", "v"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -171,22 +171,24 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """One row per file of (path, content): PARSED, with the error of files that can't be followed."""
+def parsed(files: DataFrame, content: bool = False) -> DataFrame:
+    """One row per file of (path, content): PARSED, with the error of files that can't be followed, and the content if asked for."""
+    schema = _SCHEMA.append(pa.field("content", pa.binary())) if content else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    row = parse(content.as_py() or b"")
+                    row = parse(raw.as_py() or b"")
                 except ValueError as e:
                     row = {"error": str(e), "deflated": False, "float_pixels": False, "has_pixels": False, "encapsulated": False, "big_endian": False}
                 row["path"] = path
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(c.name) for r in rows], c.type) for c in _SCHEMA], schema=_SCHEMA)
+            columns = [pa.array([r.get(c.name) for r in rows], c.type) for c in _SCHEMA]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("content").fill_null(b"")] * content, schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED + ", content binary" * content)
 
 
 def element(tag: int, kind: bytes, value: bytes, explicit: bool = True, order: str = "little") -> bytes:
