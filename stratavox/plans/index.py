@@ -77,9 +77,9 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso(seconds: Column) -> Column:
-    """ISO 8601 text of epoch seconds, whatever the session's time zone."""
+    """ISO 8601 text of epoch seconds, whatever the session's time zone; years from 10000 on have no sign."""
     days, rest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
-    return F.concat(F.date_format(days, "yyyy-MM-dd"), F.format_string("T%02d:%02d:%02d.000Z", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
+    return F.concat(F.format_string("%04d-%02d-%02d", F.year(days), F.month(days), F.day(days)), F.format_string("T%02d:%02d:%02d.000Z", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
 
 
 @query("series_last_put", f"WITH {LOG} SELECT series, max(t)::BIGINT AS last_put, count(*)::BIGINT AS n_puts FROM log WHERE NOT deleted GROUP BY series")
