@@ -54,7 +54,7 @@ def decode_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a written tile table says of a volume: its streams are not read."""
     t = written(tiles(spark, sf_dir), "tiles").drop("stream")
-    return t.groupBy("volume_id").agg(F.count("*").alias("n_tiles"), (F.max("slab") + 1).alias("slabs"), (F.max("stripe") + 1).alias("stripes"), F.sum(F.col("depth").cast("bigint") * F.col("height") * F.col("width")).alias("n_samples"), F.min("lo").alias("lo"))
+    return t.groupBy("volume_id").agg(F.count("*").alias("n_tiles"), (F.max("slab") + 1).alias("slabs"), (F.max("stripe") + 1).alias("stripes"), F.sum(F.coalesce(F.array_size("present"), F.col("depth") * F.col("height")).cast("bigint") * F.col("width")).alias("n_samples"), F.min("lo").alias("lo"))
 
 
 @query("trace", f"WITH {UNTRAINED} SELECT volume_id, z, sum(mu16 * (x + 1))::BIGINT AS mu16, sum(ls8 * (y + 1))::BIGINT AS log_scale8, count(*)::BIGINT AS n FROM pred GROUP BY volume_id, z")

@@ -1,7 +1,10 @@
 """What only larger tables show: far dates, ragged last slices, many batches and partitions."""
 
 import duckdb
+import pytest
 from compare import rows_of, sql_rows
+from pyspark.errors import PythonException
+from stratavox.operators import codec
 from stratavox.plans import registry
 
 
@@ -23,3 +26,16 @@ def same(spark, folder, con, name):
 def test_iso8601_of_years_beyond_9999(spark, tmp_path):
     folder, con = with_table(tmp_path, "events", "SELECT i * 6000 AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) MINUTE AS ts FROM range(1000) t(i)")
     same(spark, folder, con, "iso8601")
+
+
+@pytest.mark.parametrize("name", ["decode_roundtrip", "decode_slices", "inspect"])
+@pytest.mark.parametrize("rows", ["range(206)", "range(230) t WHERE range % 7 <> 3 AND range NOT BETWEEN 60 AND 130"])
+def test_tiles_with_rows_missing(spark, tmp_path, name, rows):
+    folder, con = with_table(tmp_path, "embeddings", f"SELECT range AS vec_id, list_transform(range(64), lambda i: ((range * 37 + i * i) % 997 / 500.0)::FLOAT) AS embedding FROM {rows}")
+    same(spark, folder, con, name)
+
+
+def test_tiles_with_a_row_twice_are_refused(spark):
+    rows = spark.createDataFrame([("v", 0, 1, [1, 2]), ("v", 0, 2, [3, 4]), ("v", 0, 2, [5, 6])], "volume_id string, z int, y int, s array<int>")
+    with pytest.raises(PythonException, match="row 2 of slice 0 is there twice"):
+        codec.encode(rows, 2, 4).collect()
