@@ -22,10 +22,12 @@ sets of shingles.
 Scale. Copies are first folded into distinct sets. Each key's texts are compared
 with its least one (a star), and the components of these links found; then only
 texts of different components that share a key are compared, so that a large group
-of near copies costs no pairs. A key that more than HOT such texts share is keyed
-again with each other key of the text, so that passages that many texts share don't
-make pairs of them all; there a pair must agree in two segments (0.995 of pairs at a
-similarity of 0.8 do). Sets are made again for candidates only.
+of near copies costs no pairs. A key that more than HOT such texts share is dealt by a
+hash into tiles of about TILE x TILE of them; a tile tests all its pairs of different
+components by their segments and returns those that pass, so that passages that many
+texts share make no rows of them all and no pair is left out. Work on such a key grows
+with the square of its texts. (Short texts pass if no more segments differ than their
+shingles may.) Sets are made again for candidates only.
 
 Defined cases: null, empty and word-less texts are one group; fewer than SHINGLE
 words are one shingle; repeated rows and ties share a group; a null doc_id is kept
@@ -47,8 +49,8 @@ from ._common import cut
 SHINGLE, SEGMENTS = 5, 32
 #: Bits in which a segment may differ on average: texts of similarity 0.8 differ in about 10 of 64, others in 32.
 BUDGET = 20
-#: Texts of different groups with one key from which on a second key is asked for.
-HOT = 64
+#: Texts with one key from which on they are compared in tiles, and texts on a tile's side.
+HOT, TILE = 64, 512
 _PART = np.uint64(0x5851F42D4C957F2D)
 _SKETCH = "struct<fp:bigint,n:bigint,level:int,segments:array<bigint>,next_level:int,next_segments:array<bigint>>"
 
@@ -143,6 +145,48 @@ def chain_array(left: pa.Array, right: pa.Array, start: pa.Array) -> pa.Array:
     return pa.array((sums <= BUDGET * np.arange(1, SEGMENTS + 1)).all(axis=1))
 
 
+def tile_pairs(segments: np.ndarray, n: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, level: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of left x right, of different groups, that sizes and segments allow to be of similarity 4/5: by chains from `start`, or for short texts by the number of segments that differ."""
+    out = [np.zeros((0, 2), np.int64)]
+    budget = BUDGET * np.arange(1, SEGMENTS + 1)
+    for at in range(0, len(left), 16):
+        a, b = left[at : at + 16, None], right[None, :]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        u, v = np.nonzero((group[a] != group[b]) & (5 * small >= 4 * large))
+        a, b = left[at + u], right[v]
+        x = segments[a] ^ segments[b]
+        if level < 5:
+            ok = 9 * np.count_nonzero(x, axis=1) <= 2 * large[u, v]
+        else:
+            differ = np.roll(np.bitwise_count(x), -start, axis=1)
+            ok = (np.cumsum(differ, axis=1, dtype=np.int32) <= budget).all(axis=1)
+        out.append(np.stack([a[ok], b[ok]], axis=1))
+    pairs = np.concatenate(out)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def hot_pairs(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (a, b), a < b, of different components that rows (k, level, i, fp, n, c, size) of hot keys have in common and tile_pairs() leaves."""
+    own = nodes.select("fp", F.col("level").alias("own_level"), "segments", "next_segments")
+    last = F.floor((F.col("size") - 1) / TILE)
+    known = hot.join(own, "fp").select("k", "level", "i", "fp", "n", "c", F.when(F.col("own_level") == F.col("level"), F.col("segments")).otherwise(F.col("next_segments")).alias("segments"), last.cast("int").alias("last"), F.pmod(F.xxhash64("fp"), last + 1).cast("int").alias("p"))
+    tiles = known.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    tiles = tiles.select("k", "level", "i", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "fp", "n", "c", "segments", (F.col("p") <= F.col("q")).alias("first"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        number = lambda name: t.column(name).to_numpy()
+        fp, first = number("fp"), number("first").astype(bool)
+        segments = np.concatenate([np.asarray(c.flatten()) for c in t.column("segments").chunks]).reshape(-1, SEGMENTS).view(np.uint64)
+        within = number("x")[0] == number("y")[0]
+        left = np.flatnonzero(first)
+        a, b = tile_pairs(segments, number("n"), number("c"), left, left if within else np.flatnonzero(~first), int(number("level")[0]), int(number("i")[0]))
+        a, b = fp[a], fp[b]
+        keep = a < b if within else slice(None)
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return tiles.groupBy("k", "level", "i", "x", "y").applyInArrow(compare, "a bigint, b bigint")
+
+
 def _overlaps(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(_each(left), _each(right), strict=True)], pa.int64())
 
@@ -195,14 +239,13 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     placed = cut(shared.join(roots, F.col("fp") == F.col("node"), "left").select("k", "level", "i", "fp", "n", F.coalesce("root", "fp").alias("c")))
     groups = placed.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.count("*").alias("parts"), F.max_by("c", "m").alias("major"), F.sum("m").alias("size")).where("parts > 1").select("k", "major", "size")
     open_ = cut(placed.join(groups, "k"))  # every pair of components has one that isn't the major
-    # what many texts of different groups share is a passage: such a key is asked for together with a second one
-    second = shared.select("fp", "level", F.col("k").alias("k2"))
-    rekeyed = open_.where(F.col("size") > HOT).join(second, ["fp", "level"]).where("k <> k2").withColumn("k", F.xxhash64("k", "k2")).select(*open_.columns)
-    open_ = cut(open_.where(F.col("size") <= HOT).union(rekeyed))
+    hot = hot_pairs(open_.where(F.col("size") > HOT), nodes)  # what many texts of different groups share is a passage
+    open_ = open_.where(F.col("size") <= HOT)
     p = open_.where("c <> major").select("k", "level", "i", F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
     q = open_.select("k", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("c").alias("qc"))
     rest = p.join(q, "k").where((F.col("pc") != F.col("qc")) & _possible(F.col("pn"), F.col("qn")))
-    far = similar(chained(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "level", "i"), nodes), docs, nodes)
+    cold = chained(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "level", "i"), nodes)
+    far = similar(cold.union(hot).distinct(), docs, nodes)
     return near.union(far)
 
 
