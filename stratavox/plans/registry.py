@@ -28,7 +28,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+#: Rows and bytes in one Arrow batch handed to a Python worker: a worker's memory doesn't grow with the rows of its task.
+ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; sets the session's Arrow batches, before the query is planned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,10 +1,11 @@
 """What only larger tables show: far dates, ragged last slices, many batches and partitions."""
 
 import duckdb
+import numpy as np
 import pytest
 from compare import rows_of, sql_rows
 from pyspark.errors import PythonException
-from stratavox.operators import codec
+from stratavox.operators import codec, evaluation
 from stratavox.plans import registry
 
 
@@ -39,3 +40,24 @@ def test_tiles_with_a_row_twice_are_refused(spark):
     rows = spark.createDataFrame([("v", 0, 1, [1, 2]), ("v", 0, 2, [3, 4]), ("v", 0, 2, [5, 6])], "volume_id string, z int, y int, s array<int>")
     with pytest.raises(PythonException, match="row 2 of slice 0 is there twice"):
         codec.encode(rows, 2, 4).collect()
+
+
+def test_counts_are_those_of_the_whole_draw():
+    ids, reps, seed = np.arange(300) * 7919 + 5, 700, 3
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(reps, dtype=np.uint64) + np.uint64(seed << 32))[None, :] * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    want = np.searchsorted(evaluation._POISSON, u, side="right")
+    assert (evaluation._counts(ids, reps, seed) == want).all()
+    assert (evaluation._counts(ids, np.arange(100, 200, dtype=np.uint64), seed) == want[:, 100:200]).all()
+    assert evaluation._BY_TOP[-1] == evaluation._UNSURE > 18
+
+
+@pytest.mark.parametrize("name", ["far_context", "compact_verify"])
+def test_batches_of_workers_are_bounded(spark, data, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    registry.queries()[name](spark, data)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 4096
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
