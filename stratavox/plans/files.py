@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,29 @@ def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back
 
 
+@lru_cache
+def _fixed(syntax: str) -> bytes:
+    """A file of that syntax without elements."""
+    return dicom.write([], syntax)
+
+
+@lru_cache(1 << 10)
+def _number(n: int, explicit: bool, order: str) -> bytes:
+    return dicom.element(0x00200013, b"IS", str(n).encode(), explicit, order)
+
+
+@lru_cache(1 << 12)
+def _image(v: int, placed: bool, pixels: bool, swapped: str, explicit: bool, order: str) -> bytes:
+    """The elements behind the instance number: place, layout and samples of 4 x 4 counting from v."""
+    u16 = lambda x: int(x).to_bytes(2, swapped)
+    els = [(0x00280010, b"US", u16(4)), (0x00280011, b"US", u16(4)), (0x00280100, b"US", u16(16)), (0x00280101, b"US", u16(12)), (0x00280102, b"US", u16(11)), (0x00280103, b"US", u16(0))]
+    if placed:
+        els += [(0x00200032, b"DS", f"0\\0\\{v}".encode()), (0x00200037, b"DS", b"1\\0\\0\\0\\1\\0")]
+    if pixels:
+        els.append((0x7FE00010, b"OW", b"".join(u16((v + i) % 4096) for i in range(16))))
+    return b"".join(dicom.element(t, k, x, explicit, order) for t, k, x in sorted(els))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as synthetic files: slices, projections, encapsulated, deflated and broken ones."""
     own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
@@ -105,13 +129,12 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(orders: pa.Array, lines: pa.Array, parts: pa.Array, q: pa.Array) -> pa.Array:
         out = []
         for o, n, p, v in zip(orders.to_pylist(), lines.to_pylist(), parts.to_pylist(), q.to_pylist(), strict=True):
-            u16 = lambda x: int(x).to_bytes(2, "big" if p % 11 == 1 else "little")  # noqa: B023,E731
-            els = [(0x00080018, b"UI", f"1.2.{p}".encode()), (0x0020000E, b"UI", f"9.{o}".encode()), (0x00200013, b"IS", str(n).encode()), (0x00280010, b"US", u16(4)), (0x00280011, b"US", u16(4)), (0x00280100, b"US", u16(16)), (0x00280101, b"US", u16(12)), (0x00280102, b"US", u16(11)), (0x00280103, b"US", u16(0))]
-            if p % 3:
-                els += [(0x00200032, b"DS", f"0\\0\\{v}".encode()), (0x00200037, b"DS", b"1\\0\\0\\0\\1\\0")]
-            if p % 7:
-                els.append((0x7FE00010, b"OW", b"".join(u16((v + i) % 4096) for i in range(16))))
-            raw = dicom.write(els, dicom.DEFLATED if p % 13 == 5 else dicom.BIG if p % 11 == 1 else dicom.IMPLICIT if p % 11 == 2 else dicom.EXPLICIT)
+            syntax = dicom.DEFLATED if p % 13 == 5 else dicom.BIG if p % 11 == 1 else dicom.IMPLICIT if p % 11 == 2 else dicom.EXPLICIT
+            explicit, order = syntax != dicom.IMPLICIT, "big" if syntax == dicom.BIG else "little"
+            swapped = "big" if p % 11 == 1 else "little"
+            head, sop = _fixed(syntax), dicom.element(0x00080018, b"UI", f"1.2.{p}".encode(), explicit, order)
+            own = dicom.element(0x0020000E, b"UI", f"9.{o}".encode(), explicit, order), _number(n, explicit, order)
+            raw = b"".join((head, sop, *own, _image(v, p % 3 > 0, p % 7 > 0, swapped, explicit, order)))
             out.append(raw[:100] if p % 17 == 3 else raw)
         return pa.array(out, pa.binary())
 
