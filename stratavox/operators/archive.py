@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stratavox.functions.digests import zstd_compress, zstd_decompress
 from stratavox.operators.stacks import slice_position
 from stratavox.sources import dicom
+from stratavox.sources.storage import written
 
 RAW, CODED = "raw", "coded"
 MEMBER = ("series", "place", "path", "kind", "modality", "sop_uid", "instance_number", "placed", "rows", "columns", "samples", "value_start", "value_end", "n_bytes", "sha", "error")
@@ -36,7 +37,8 @@ def _planes(split: bool) -> Column:
 def pack(files: DataFrame) -> DataFrame:
     """Members of files (path, content), in the archive's order; a null content is an empty file.
 
-    Ranges are drawn before anything is compressed, so only parsing is done for them.
+    Parsed files are written to the shared folder first, as ranges are drawn in a pass
+    of their own: that reads what is written, and nothing is made or parsed twice.
     """
     own = dicom.parsed(files, content=True).withColumn("n_bytes", F.octet_length("content").cast("bigint"))
     size = F.col("value_end") - F.col("value_start")
@@ -47,7 +49,8 @@ def pack(files: DataFrame) -> DataFrame:
     known = own.select(
         F.coalesce("series", F.lit("")).alias("series"), F.coalesce(position, F.col("instance_number"), F.lit(0)).cast("bigint").alias("place"), "path", F.when(coded, CODED).otherwise(RAW).alias("kind"), "modality", "sop_uid", "instance_number", position.isNotNull().alias("placed"),
         "rows", "columns", F.when(coded, samples).alias("samples"), "value_start", "value_end", "n_bytes", F.sha2("content", 256).alias("sha"), "error", "content",
-    ).repartitionByRange("series", "place", "path").sortWithinPartitions("series", "place", "path")
+    )
+    known = written(known, "members").repartitionByRange("series", "place", "path").sortWithinPartitions("series", "place", "path")
     part = lambda start, length: F.when(F.col("kind") == CODED, F.substring("content", start, length))
     at = lambda name: F.col(name).cast("int")
     whole = F.when(F.col("kind") == RAW, F.col("content"))

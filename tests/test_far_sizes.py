@@ -2,11 +2,15 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import rows_of, sql_rows
 from pyspark.errors import PythonException
-from stratavox.operators import codec, evaluation
+from pyspark.sql import functions as F
+from stratavox.operators import archive, codec, evaluation
+from stratavox.plans import files as plans
 from stratavox.plans import registry
+from stratavox.sources import dicom
 
 
 def with_table(tmp_path, name, sql):
@@ -61,3 +65,28 @@ def test_batches_of_workers_are_bounded(spark, data, name):
     registry.queries()[name](spark, data)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 4096
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_files_are_made_and_parsed_once_for_an_archive(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def content(paths: pa.Array) -> pa.Array:
+        seen.add(len(paths))
+        return pa.array([dicom.write([(0x0020000E, b"UI", f"9.{p}".encode())]) for p in paths.to_pylist()], pa.binary())
+
+    files = spark.range(0, 40, 1, 4).select(F.col("id").cast("string").alias("path")).withColumn("content", F.arrow_udf(content, "binary")("path"))
+    archive.write(archive.pack(files), str(tmp_path / "a"))
+    assert seen.value == 40
+    assert archive.restore(archive.opened(spark, str(tmp_path / "a"))).where("ok").count() == 40
+
+
+def test_synthetic_files_are_those_of_their_elements(spark, tmp_path):
+    folder, _ = with_table(tmp_path, "lineitem", "SELECT i AS l_orderkey, (i % 7)::INT AS l_linenumber, i * 5 + 1 AS l_partkey, (i % 50)::DOUBLE AS l_quantity FROM range(700) t(i)")
+    for r in plans._files(spark, folder).collect():
+        order, (line, p) = int(r.path.split("/")[0]), map(int, r.path.split("/")[1].split("-"))
+        u16 = lambda x: int(x).to_bytes(2, "big" if p % 11 == 1 else "little")  # noqa: B023,E731
+        els = [(0x00080018, b"UI", f"1.2.{p}".encode()), (0x0020000E, b"UI", f"9.{order}".encode()), (0x00200013, b"IS", str(line).encode()), *[(t, b"US", u16(n)) for t, n in ((0x00280010, 4), (0x00280011, 4), (0x00280100, 16), (0x00280101, 12), (0x00280102, 11), (0x00280103, 0))]]
+        els += [(0x00200032, b"DS", f"0\\0\\{order % 50}".encode()), (0x00200037, b"DS", b"1\\0\\0\\0\\1\\0")] if p % 3 else []
+        els += [(0x7FE00010, b"OW", b"".join(u16(order % 50 + i) for i in range(16)))] if p % 7 else []
+        raw = dicom.write(els, dicom.DEFLATED if p % 13 == 5 else dicom.BIG if p % 11 == 1 else dicom.IMPLICIT if p % 11 == 2 else dicom.EXPLICIT)
+        assert bytes(r.content) == (raw[:100] if p % 17 == 3 else raw)
