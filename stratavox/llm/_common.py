@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """udf, evaluated once a row even where a filter or an explode reads its column.
+
+    Spark copies a deterministic UDF into the filter that it pushes below; then each
+    task assesses its rows twice, in two Python workers that both hold the models.
+    """
+    return udf.asNondeterministic()
+
+
+_MODEL: dict[tuple, object] = {}
+
+
+def kept_model[T](make: Callable[..., T], *key: str) -> T:
+    """make(*key), kept for the next batches in place of the model kept before: a worker outlives its stage, and the models of all operators would add up."""
+    if (make, *key) not in _MODEL:
+        _MODEL.clear()
+        _MODEL[make, *key] = make(*key)
+    return _MODEL[make, *key]
+
+
 def held_out(doc_id: Column) -> Column:
     """True if the row belongs to the held-out fold; false for a null id."""
     mod, rest = HELD_OUT

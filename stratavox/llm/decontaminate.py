@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import blocks, span_hashes, windows, words
+from ._common import once
 
 WINDOW = 10
 #: 200,000 windows of ten words are about 30 MB with their words.
@@ -49,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str
                 out[b.first + d] = [{"size": n, "win": b" ".join(w[i : i + n])} for i in range(len(w) - n + 1)] if w else []
         return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("win", pa.binary())])))
 
-    cut = benchmark.select(F.col(item_col).cast("string").alias("item"), cutter(F.col(text_col).cast("string")).alias("w"))
+    cut = benchmark.select(F.col(item_col).cast("string").alias("item"), once(cutter)(F.col(text_col).cast("string")).alias("w"))
     return cut.select("item", F.explode("w").alias("w")).select("item", "w.size", "w.win").distinct()
 
 
@@ -172,7 +173,7 @@ def _joined(docs: DataFrame, wins: DataFrame, text_col: str, out: str) -> DataFr
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span)]))
 
     key = F.sha2(F.coalesce(text, F.lit("")), 256)
-    texts = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("t")).dropDuplicates(["key"]).select("key", cutter("t").alias("c")).select("key", "c.*")
+    texts = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("t")).dropDuplicates(["key"]).select("key", once(cutter)("t").alias("c")).select("key", "c.*")
     hits = texts.select("key", F.explode("cuts").alias("c")).select("key", "c.*").join(wins, ["size", "win"])
     per = hits.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.collect_set("item").alias("items"))
     done = texts.drop("cuts").join(per, "key", "left").select(F.col("key").alias("__key"), gather("n", "starts", "ends", "hits", "items").alias("__out"))

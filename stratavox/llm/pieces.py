@@ -46,7 +46,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import Block, blocks, mix, run_hashes
-from ._common import tokenizer_path
+from ._common import kept_model, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, RANK_SHIFT, SEED = 3, 2.0, 42
@@ -538,13 +538,8 @@ def _ids(v: Vocabulary, lat: Lattice, d: Draw, bounds: np.ndarray) -> Iterator[n
         yield ids[cuts[i] : cuts[i + 1]]
 
 
-_MODELS: dict[str, Vocabulary] = {}
-
-
 def vocabulary(model: str) -> Vocabulary:
-    if model not in _MODELS:
-        _MODELS[model] = Vocabulary(model)
-    return _MODELS[model]
+    return kept_model(Vocabulary, model)
 
 
 def sample_array(texts: pa.Array, keys: pa.Array, samples: int, model: str) -> pa.Array:

@@ -35,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,8 +238,8 @@ def text_terms(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def mark_terms(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """docs with the column out: the spans of disclosing terms in each text, and the bits that each leaves."""
+def mark_terms(docs: DataFrame, text_col: str, out: str, clean: Callable[[pa.Array, pa.Array], pa.Array] | None = None) -> DataFrame:
+    """docs with the column out: the spans of disclosing terms in each text, and the bits that each leaves; or clean(texts, spans), strings, by the same worker."""
     text = F.col(text_col).cast("string")
     contexts = cut(docs.select(F.explode(scan(text)["ctx"]).alias("x")).select("x.e", "x.t", "x.c"))
     bad = disclosing(contexts, cut(term_counts(docs, text_col)))
@@ -249,6 +249,8 @@ def mark_terms(docs: DataFrame, text_col: str, out: str) -> DataFrame:
         keys, bits = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], float)
         order = np.argsort(keys)
         shared = docs.sparkSession.sparkContext.broadcast((keys[order], bits[order]))
+        if clean:
+            return docs.withColumn(out, F.arrow_udf(lambda t: clean(t, mark_array(t, *shared.value)), "string")(text))
         return docs.withColumn(out, F.arrow_udf(lambda t: mark_array(t, *shared.value), _MARKS)(text))
     texts = docs.select(_digest(text).alias("th"), text.alias("text")).dropDuplicates(["th"])
     own = texts.select("th", F.explode(F.arrow_udf(text_terms, "array<bigint>")("text")).alias("t")).join(bad, "t")
@@ -261,7 +263,8 @@ def mark_terms(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     found = cut(texts.join(lists, "th").select("th", F.arrow_udf(mark, _MARKS)("text", F.col("l.t"), F.col("l.bits")).alias(out)))
     digest = fresh(docs, "text_digest")
     joined = docs.withColumn(digest, _digest(text)).join(found.withColumnRenamed("th", digest), digest, "left")
-    return joined.select(*docs.columns, F.coalesce(out, F.array().cast(_MARKS)).alias(out))
+    marks = F.coalesce(out, F.array().cast(_MARKS))
+    return joined.select(*docs.columns, (F.arrow_udf(clean, "string")(text, marks) if clean else marks).alias(out))
 
 
 def _digest(text: Column) -> Column:
@@ -294,8 +297,7 @@ def clean_text(text: str, spans: list[tuple[int, int, int, str]], extra: list[di
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with sanitised texts; same rows and columns."""
-    terms_col = fresh(docs, "term_spans")
-    text = F.col(text_col).cast("string")
+    cleaned = fresh(docs, "clean_text")
 
     def clean(texts: pa.Array, extra: pa.Array) -> pa.Array:
         out = []
@@ -304,5 +306,4 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out.append(clean_text(t, got, own or []) if got or own else t)
         return pa.array(out, pa.string())
 
-    marked = mark_terms(docs, text_col, terms_col)
-    return marked.withColumn(text_col, F.arrow_udf(clean, "string")(text, F.col(terms_col))).select(*docs.columns)
+    return mark_terms(docs, text_col, cleaned, clean).withColumn(text_col, F.col(cleaned)).select(*docs.columns)

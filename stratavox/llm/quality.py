@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import Block, blocks, in_token, span_hashes, tokens, windows
-from ._common import cut, fresh, tokenizer_path
+from ._common import cut, fresh, kept_model, once, tokenizer_path
 
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 MIN_WORDS, MEMO_WORDS, LONG_WORD = 50, 400_000, 1024
@@ -173,13 +173,12 @@ def scripts(b: Block) -> np.ndarray:
     return np.where(counts.max(axis=0) > 0, counts.argmax(axis=0), SCRIPTS.index("other"))
 
 
-_MEMO: dict[str, Fertility] = {}
+def memos(*paths: str) -> tuple[Fertility, ...]:
+    return tuple(map(Fertility, paths))
 
 
 def figures_array(texts: pa.Array, paths: tuple[str, ...]) -> pa.Array:
-    for path in paths:
-        if path not in _MEMO:
-            _MEMO[path] = Fertility(path)
+    own = kept_model(memos, *paths)
     cols: list[list] = [[] for _ in range(8)]
     fert: list[list] = [[], [], []]  # a row per document, a number per vocabulary
     some_parts = []
@@ -187,7 +186,7 @@ def figures_array(texts: pa.Array, paths: tuple[str, ...]) -> pa.Array:
         n_words, chars, symbols, dup, repeat, (starts, ends, docs, hashes) = base_counts(b)
         none = np.zeros(b.n)
         words = np.unique(hashes, return_index=True, return_inverse=True)
-        got = [_MEMO[p].figures(b, starts, ends, docs, words) if len(starts) else (none, none, none) for p in paths]
+        got = [m.figures(b, starts, ends, docs, words) if len(starts) else (none, none, none) for m in own]
         many = got[0][0]
         size_class = np.floor(CLASSES * np.log2(np.maximum(many, 1))).astype(np.int32)
         failed = (n_words < MIN_WORDS) | (100 * repeat > 50 * n_words)
@@ -208,7 +207,7 @@ def figures_array(texts: pa.Array, paths: tuple[str, ...]) -> pa.Array:
 
 def figures(text: Column, paths: tuple[str, ...]) -> Column:
     """A struct (FIGURES) of base counts and, per vocabulary, fertility figures of each text."""
-    return F.arrow_udf(lambda texts: figures_array(texts, paths), FIGURES)(text.cast("string"))
+    return once(F.arrow_udf(lambda texts: figures_array(texts, paths), FIGURES))(text.cast("string"))
 
 
 @dataclass(frozen=True)
