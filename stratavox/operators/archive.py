@@ -83,8 +83,8 @@ def restore(archive: DataFrame) -> DataFrame:
     """Files (series, path, content, ok): ok tells whether the bytes have the member's digest; else content is null."""
     none = F.unhex(F.lit(""))
     kept = F.col("invalid").isNull()
-    pixels = F.when(kept & (F.col("kind") == CODED), _planes(False)(zstd_decompress(F.col("pixels"))))
-    rest = F.when(F.col("kind") == CODED, F.concat(pixels, zstd_decompress(F.col("tail")))).otherwise(none)
-    content = F.concat(zstd_decompress(F.col("head")), rest)
+    pixels = F.when(kept & (F.col("kind") == CODED), _planes(False)(zstd_decompress(F.col("pixels"))["content"]))
+    rest = F.when(F.col("kind") == CODED, F.concat(pixels, zstd_decompress(F.col("tail"))["content"])).otherwise(none)
+    content = F.concat(zstd_decompress(F.col("head"))["content"], rest)
     ok = F.coalesce(kept & (F.sha2(content, 256) == F.col("sha")), F.lit(False))
     return archive.select("series", "path", "kind", content.alias("content"), ok.alias("ok")).withColumn("content", F.when(F.col("ok"), F.col("content")))

@@ -50,7 +50,7 @@ def verified(members: DataFrame, folder: str) -> DataFrame:
     framed = members.select("bucket", "key", "seq", "series", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("bigint").alias("n_bytes"), zstd_compress(F.col("content"), 6).alias("frame"))
     framed.write.mode("overwrite").parquet(folder)
     back = spark.read.schema(framed.schema).parquet(folder)
-    ok = F.coalesce(F.sha2(zstd_decompress(F.col("frame")), 256) == F.col("sha"), F.lit(False))
+    ok = F.coalesce(F.sha2(zstd_decompress(F.col("frame"))["content"], 256) == F.col("sha"), F.lit(False))
     checked = back.select("bucket", "key", "seq", "series", "n_bytes", F.octet_length("frame").cast("bigint").alias("n_packed"), ok.alias("ok"))
     return checked.join(checked.where("NOT ok").select("series").distinct(), "series", "left_anti").drop("ok")
 

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratavox.functions import settings
+from stratavox.functions.digests import zstd_compress, zstd_decompress
 from stratavox.operators import archive, evaluation, index
+from stratavox.plans import files as plans
+from stratavox.plans import registry
 from stratavox.sources import catalogue, dicom
 from stratavox.streaming import compaction
 
@@ -78,6 +81,30 @@ def _events(spark, folder):
     spark.createDataFrame(rows, compaction.EVENTS).coalesce(1).write.parquet(folder)
 
 
+def _damaged(c, level=3):
+    """Frames of which some lack their end."""
+    frame = zstd_compress(c, level)
+    return F.when(F.crc32(c) % 3 == 0, F.substring(frame, 1, 12)).otherwise(frame)
+
+
+def test_objects_that_fail_are_not_verified(spark, data, monkeypatch):
+    monkeypatch.setattr(plans, "zstd_compress", _damaged)
+    rows = registry.queries()["compact_verify"](spark, data).collect()
+    failing = {r.source for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL AND crc32(cast(text AS binary)) % 3 = 0").select("source").distinct().collect()}
+    assert failing & {r.source for r in rows}
+    assert all(r.verified is (r.source not in failing) for r in rows)
+
+
+def test_frames_that_fail_say_why(spark):
+    frame = (5).to_bytes(8, "little") + b"junk"
+    bomb, short = (1 << 60).to_bytes(8, "little") + b"junk", b"\1\2"
+    rows = spark.createDataFrame([(0, None), (1, frame), (2, bomb), (3, short)], "i int, f binary").unionAll(spark.range(2).select((F.col("id") + 4).cast("int"), zstd_compress(F.when(F.col("id") == 0, b"").otherwise(b"abc"))))
+    got = {r.i: r.r for r in rows.select("i", zstd_decompress(F.col("f")).alias("r")).collect()}
+    assert tuple(got[0]) == (None, None)
+    assert all(got[i].content is None and got[i].error for i in (1, 2, 3)) and "hold" in got[2].error
+    assert [(bytes(got[i].content), got[i].error) for i in (4, 5)] == [(b"", None), (b"abc", None)]
+
+
 def test_compactor_stream(spark, tmp_path):
     _events(spark, str(tmp_path / "in"))
     raw = spark.createDataFrame([("put", "u7/1", 1, 7, b"a"), ("put", "u7/2", 2, 7, b"b"), ("put", "u8/3", 3, 8, b"c"), ("put", "u9/4", 4, 9, b"d")], "bucket string, key string, seq bigint, series bigint, content binary")
