@@ -158,7 +158,7 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("archive_ls", f"""WITH f AS (SELECT l_orderkey AS series, l_linenumber AS n, l_partkey AS p, {_REASON} IS NULL AS coded FROM lineitem)
 SELECT '9.' || series AS series, count(*)::BIGINT AS n_instances, sum(CASE WHEN p % 3 > 0 THEN 1 ELSE 0 END)::BIGINT AS n_placed FROM f WHERE coded GROUP BY series""")
 def archive_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a written archive of the files lists of its coded instances; no frame is read."""
+    """What a written archive of the files lists of its coded instances; no bytes of files are read."""
     return A.listing(_archive(spark, sf_dir)).select("series", "n_instances", "n_placed")
 
 

@@ -1,6 +1,7 @@
 """Archives, the compactor's switch, uploads, layered settings and bootstrap intervals."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -60,6 +61,39 @@ def test_empty_archive(spark, tmp_path):
     assert archive.restore(_archive(spark, [], str(tmp_path / "a"))).count() == 0
 
 
+def _parts(folder):
+    return [p for p in folder.rglob("*.parquet") if p.is_file()]
+
+
+@pytest.mark.parametrize("name", ["archive_ls", "archive_restore"])
+def test_an_archive_is_all_that_packing_leaves(spark, data, name):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(_parts(shared))
+    registry.queries()[name](spark, data).collect()
+    left = set(_parts(shared)) - before
+    assert {p.parent.name.split("-")[0] for p in left} == {"archive"}
+    assert sum(p.stat().st_size for p in left) < 100 * spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+
+def test_one_large_series_spreads(spark, tmp_path):
+    files = spark.createDataFrame([(f"{i:04}", _file(b"1.2", i, i * 7 % 3000)) for i in range(3000)], "path string, content binary").repartition(4)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        archive.write(archive.pack(files), str(tmp_path / "a"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = [[r.place for r in spark.read.parquet(str(p)).select("place").collect()] for p in _parts(tmp_path / "a")]
+    assert len(parts) > 2 and max(map(len, parts)) < 2000
+    assert all(p == sorted(p) for p in parts)
+    back = archive.restore(archive.opened(spark, str(tmp_path / "a")))
+    assert back.where("ok").select("path").distinct().count() == 3000
+
+
+def test_pixels_that_lost_a_byte_are_told(spark, tmp_path):
+    own = _archive(spark, [("a", _file(b"1.2", 1, 9))], str(tmp_path / "a"))
+    assert [(r.ok, r.content) for r in archive.restore(own.withColumn("pixels", F.substring("pixels", 1, 31))).collect()] == [(False, None)]
+
+
 def test_compaction_moves_what_is_current(spark, tmp_path):
     raw = spark.createDataFrame([("b", "k1", 1, 7, b"one" * 99), ("b", "k2", 2, 7, b"two" * 99), ("b", "k3", 3, 7, b"x"), ("b", "k4", 4, 8, b"other")], "bucket string, key string, seq bigint, series bigint, content binary")
     state = spark.createDataFrame([("b", "k1", 1, False), ("b", "k2", 9, False), ("b", "k3", 3, True), ("b", "k4", 4, False)], "bucket string, key string, seq bigint, deleted boolean")
