@@ -41,6 +41,25 @@ def test_archive_restores_every_kind(spark, tmp_path):
     assert [r.path for r in own.where("kind = 'coded'").orderBy("place").collect()] == ["behind", "b", "a"]
 
 
+@pytest.mark.parametrize("syntax", [dicom.EXPLICIT, dicom.IMPLICIT, dicom.BIG])
+def test_elements_that_were_seen_are_followed_alike(monkeypatch, syntax):
+    def told(raw):
+        try:
+            return dicom.parse(raw)
+        except ValueError as e:
+            return str(e)
+
+    whole = _file(b"1.2", 7, 3, syntax=syntax) + dicom.element(0xFFFCFFFC, b"OB", b"tail", syntax != dicom.IMPLICIT, "big" if syntax == dicom.BIG else "little")
+    cuts = [whole[:n] for n in range(len(whole) + 1)] + [whole[:n] + b"\xff" + whole[n + 1 :] for n in range(132, len(whole))]
+    monkeypatch.setattr(dicom, "_MOST_SEEN", 0)
+    monkeypatch.setattr(dicom, "_SEEN", {k: {} for k in dicom._SEEN})
+    first = [told(raw) for raw in cuts]
+    assert not any(dicom._SEEN.values())
+    monkeypatch.setattr(dicom, "_MOST_SEEN", 8)
+    assert [[told(raw) for raw in cuts] for _ in range(2)] == [first] * 2
+    assert max(map(len, dicom._SEEN.values())) == 8
+
+
 def test_damaged_members_are_told(spark, tmp_path):
     own = _archive(spark, [("a", _file(b"1.2", 1, 9)), ("b", _file(b"1.2", 2, 5))], str(tmp_path / "a"))
     bad = own.drop("invalid").withColumn("tail", F.lit(None).cast("binary")).withColumn("n_bytes", F.when(F.col("path") == "a", F.lit(-1)).otherwise(F.col("n_bytes")))
